@@ -7,19 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, lengths, packing, pii, simhash
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: The key of the registered query and of the pipeline; a deployment passes its own.
+KEY = "panelworks-demonstration-key"
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms(read(spark, sf_dir, "documents"), KEY)
+
+
+def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.histogram(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "links")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_simhash": op7_simhash}
+    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op6_lengths, op7_simhash, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
