@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lengths, packing, pii, simhash
+from . import decontaminate, lengths, packing, pii, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +38,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op6_lengths, op7_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
