@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lengths, packing, pii, simhash, toxicity
+from . import decontaminate, lengths, packing, pii, quality, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(read(spark, sf_dir, "documents"), KEY)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op4_quality, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
