@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lengths, packing, pii, quality, simhash, toxicity
+from . import bitslice, decontaminate, lengths, packing, pii, quality, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return bitslice.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.histogram(read(spark, sf_dir, "documents"))
 
@@ -47,8 +52,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op4_quality, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op4_quality, op5_topk, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
+
+
+OP5 = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum([q.c[i] * r.c[i] FOR i IN range(1, len(q.c) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk": OP5}
