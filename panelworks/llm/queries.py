@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, lengths, packing, pii, quality, simhash, toxicity
+from . import bitslice, decontaminate, html_text, lengths, packing, pii, quality, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(read(spark, sf_dir, "documents"), KEY)
 
@@ -52,7 +56,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_pii, op4_quality, op5_topk, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_html, op3_pii, op4_quality, op5_topk, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
 
 
 OP5 = """
