@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslice, decontaminate, html_text, lengths, packing, pii, quality, simhash, toxicity
+from . import bitslice, decontaminate, html_text, language, lengths, packing, pii, quality, simhash, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_html, op3_pii, op4_quality, op5_topk, op6_lengths, op7_simhash, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_html, op3_pii, op4_quality, op5_topk, op6_lengths, op7_simhash, op8_packing, op9_toxicity, op10_language)}
 
 
 OP5 = """
