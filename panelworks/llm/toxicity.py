@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, table
 
 #: Labelled rows that a model is fitted on at most (those whose ids hash lowest), and words of them that it may weigh.
 ROWS, FEATURES = 12_000, 4_000
@@ -94,84 +94,111 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights.get(x, 0.0) for x in sorted(levels(found))), -40, 40))))
 
 
-def fit(texts: list[set[str]], y: np.ndarray) -> Model:
-    """A model from each text's distinct words and label."""
-    if not len(y) or y.min() == y.max():
-        return Model(float(4 * (y.mean() * 2 - 1)) if len(y) else -4.0, {})
-    names: dict[str, int] = {}
-    rows, columns = [], []
-    for i, words in enumerate(texts):
-        counts: dict[str, int] = {}
-        for word in words:
-            for x in features(word):
-                counts[x] = counts.get(x, 0) + 1
-        own = levels(counts)
-        rows.append(np.full(len(own), i, np.int32))
-        columns.append(np.fromiter((names.setdefault(x, len(names)) for x in sorted(own)), np.int32, len(own)))
-    row, column = np.concatenate(rows), np.concatenate(columns)
-    n, n1 = np.bincount(column, minlength=len(names)), np.bincount(column, weights=y[row], minlength=len(names))
-    base, least = y.mean(), max(2, len(y) // LEAST)
-    z = np.abs(n1 - n * base) / np.sqrt(np.maximum(n, 1) * base * (1 - base))
-    z[(n < least) | (n > COMMON * len(y))] = 0
-    group = np.array([names[x] for x in _GROUP if x in names and n[names[x]] >= least], dtype=np.int64)
-    z[group] = np.inf
-    keep = np.argsort(-z, kind="stable")[:FEATURES]
-    keep = np.sort(keep[z[keep] > 0])
-    place = np.full(len(names), -1)
-    place[keep] = np.arange(len(keep))
-    called = list(names)
-    row, column = row[place[column] >= 0], place[column[place[column] >= 0]]
-    # counterfactual pairs: the difference of features between a text and its copy with another group's name
-    gain, loss = [], []
-    for words in texts:
-        for word in words & _GROUP.keys():
-            for other in _GROUP[word]:
-                if other not in words:
-                    gain.append(place[names[other]] if other in names else -1)
-                    loss.append(place[names[word]])
-    gain, loss = np.array(gain, dtype=np.int64), np.array(loss, dtype=np.int64)
-    k, m = len(keep), len(y)
-    w, b, t, v, c = np.zeros(k), float(np.log(base / (1 - base))), 1.0, np.zeros(k), float(np.log(base / (1 - base)))
-    # a bound of the curvature, by power steps
-    x = np.ones(k)
-    top = 1.0
-    for _ in range(20):
+def document_features(words: set[str]) -> set[str]:
+    counts: dict[str, int] = {}
+    for word in words:
+        for x in features(word):
+            counts[x] = counts.get(x, 0) + 1
+    return levels(counts)
+
+
+def solve(row: np.ndarray, column: np.ndarray, k: int, y: np.ndarray, gain: np.ndarray, loss: np.ndarray) -> tuple[float, np.ndarray]:
+    """Bias and weights of k features, of which document ``row[i]`` has ``column[i]``.
+
+    In a counterfactual pair a text's feature ``loss[i]`` becomes ``gain[i]`` (-1:
+    a name without a weight).  Accelerated proximal gradient steps.
+    """
+    m, base = len(y), y.mean()
+    start = float(np.log(base / (1 - base)))
+    w, b, t, v, c = np.zeros(k), start, 1.0, np.zeros(k), start
+    x, top = np.ones(k), 1.0  # a bound of the curvature, by power steps
+    for _ in range(20 if k else 0):
         x = np.bincount(column, weights=np.bincount(row, weights=x[column], minlength=m)[row], minlength=k)
-        top = np.linalg.norm(x)
+        top = max(float(np.linalg.norm(x)), 1e-9)
         x /= top
     step = 1 / (top / 4 / m + 0.25 + RIDGE + 4 * COUNTERFACTUAL * max(1, len(gain)) / m)
-    pad = lambda a: np.append(a, 0.0)
+    gain, loss = np.where(gain < 0, k, gain), np.where(loss < 0, k, loss)
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-(c + np.bincount(row, weights=v[column], minlength=m))))
         error = (p - y) / m
         grad = np.bincount(column, weights=error[row], minlength=k) + RIDGE * v
         if len(gain):
-            change = (pad(v)[gain] - pad(v)[loss]) * 2 * COUNTERFACTUAL / m
-            grad += (np.bincount(gain % (k + 1), weights=change, minlength=k + 1) - np.bincount(loss % (k + 1), weights=change, minlength=k + 1))[:k]
+            padded = np.append(v, 0.0)
+            change = (padded[gain] - padded[loss]) * 2 * COUNTERFACTUAL / m
+            grad += (np.bincount(gain, weights=change, minlength=k + 1) - np.bincount(loss, weights=change, minlength=k + 1))[:k]
         new, new_b = v - step * grad, c - step * error.sum()
         new = np.sign(new) * np.maximum(np.abs(new) - step * LASSO, 0)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = new + (t - 1) / after * (new - w), new_b + (t - 1) / after * (new_b - b)
         w, b, t = new, new_b, after
-    return Model(b, {called[j]: float(x) for j, x in zip(keep, w) if x})
+    return float(b), w
+
+
+def swaps(words: set[str]) -> list[tuple[str, str]]:
+    """``(there, instead)`` for each group name of a text and each other of its kind that isn't in it."""
+    return [(word, other) for word in sorted(words & _GROUP.keys()) for other in _GROUP[word] if other not in words]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that aren't held out; only their distinct words come to the driver."""
+    """Fit on at most ``rows`` labelled documents that aren't held out.
+
+    Features are counted where the documents are; the driver gets the best
+    FEATURES of them, and which of those each document has.
+    """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), F.col("toxic").cast("int").alias("_pw_y")).dropDuplicates(["_pw_id"])
+    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), F.col("toxic").cast("int").alias("_pw_y")).groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"))
     chosen = chosen.orderBy(F.xxhash64("_pw_id"), "_pw_id").limit(rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_pw_id"))  # at most ``rows`` ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [" ".join(sorted(distinct_words(x.as_py()))) for x in batch.column(1)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(words, pa.string())], names=["doc_id", "y", "words"])
+            yield pa.record_batch([batch.column(0), pa.array(words, pa.string())], names=["y", "words"])
 
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "text", "_pw_y").mapInArrow(run, f"doc_id {ids}, y int, words string").toPandas()
-    found = found.sort_values(["doc_id", "words"], kind="stable").drop_duplicates("doc_id")
-    return fit([set(x.split()) for x in found["words"]], found["y"].to_numpy(dtype=float))
+    texts = table(texts.dropDuplicates(["doc_id"]).select("_pw_y", "text").mapInArrow(split, "y int, words string"), "labelled")
+    total, positive = texts.agg(F.count("*"), F.sum("y")).first()
+    if not total or positive in (0, total):
+        return Model(float(4 * (2 * positive / total - 1)) if total else -4.0, {})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        for batch in batches:
+            for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = seen[y]
+                for x in document_features(set(words.as_py().split())):
+                    own[x] = own.get(x, 0) + 1
+        for y, own in enumerate(seen):
+            names = list(own)
+            for at in range(0, len(names), 50_000):
+                part = names[at : at + 50_000]
+                yield pa.record_batch([pa.array(part, pa.string()), pa.array([own[x] for x in part], pa.int64()), pa.array([own[x] * y for x in part], pa.int64())], names=["feature", "n", "n1"])
+
+    base, least = positive / total, max(2, total // LEAST)
+    counts = texts.mapInArrow(count, "feature string, n bigint, n1 bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    z = F.abs(F.col("n1") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
+    named = F.col("feature").isin(list(_GROUP))
+    best = counts.where((F.col("n") >= least) & (named | (F.col("n") <= COMMON * total))).orderBy(F.desc(named), F.desc(z), "feature").limit(FEATURES)
+    names = sorted(r["feature"] for r in best.select("feature").collect())  # at most FEATURES
+    shared = docs.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(names)})
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = shared.value
+        for batch in batches:
+            have, gain, loss = [], [], []
+            for words in (set(x.as_py().split()) for x in batch.column(1)):
+                have.append(sorted(place[x] for x in document_features(words) if x in place))
+                pairs = swaps(words)
+                gain.append([place.get(b, -1) for _, b in pairs])
+                loss.append([place.get(a, -1) for a, _ in pairs])
+            kind = pa.list_(pa.int32())
+            yield pa.record_batch([batch.column(0), pa.array(have, kind), pa.array(gain, kind), pa.array(loss, kind)], names=["y", "have", "gain", "loss"])
+
+    found = texts.mapInArrow(index, "y int, have array<int>, gain array<int>, loss array<int>").toArrow()  # at most ``rows`` rows of numbers
+    flat = lambda name: found.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = np.array([len(x) for x in found.column("have")], dtype=np.int64)
+    y = found.column("y").to_numpy().astype(float)
+    bias, weights = solve(np.repeat(np.arange(len(y)), sizes), flat("have"), len(names), y, flat("gain"), flat("loss"))
+    return Model(bias, {names[j]: float(x) for j, x in enumerate(weights) if x})
 
 
 def _memo_score(model: Model, memo: dict, texts: Iterator) -> list[float]:
