@@ -64,12 +64,11 @@ def histogram(docs: DataFrame, path: str = DEFAULT) -> DataFrame:
 
 def answers(hist: DataFrame, limits: list[int]) -> DataFrame:
     """``context, whole_docs, truncated_tokens``: for each limit, documents that fit and the tokens left after cutting."""
-    asked = hist.sparkSession.createDataFrame([(int(x),) for x in limits], "context bigint")
-    fit = F.col("length") <= F.col("context")
-    parts = hist.crossJoin(F.broadcast(asked)) if len(limits) <= 1000 else None
-    if parts is None:
+    if len(limits) > 1000:
         raise ValueError("ask for at most 1000 limits at a time")
-    return parts.groupBy("context").agg(
+    context = F.explode(F.array(*(F.lit(int(x)).cast("bigint") for x in limits)))
+    fit = F.col("length") <= F.col("context")
+    return hist.select("length", "n_docs", context.alias("context")).groupBy("context").agg(
         F.sum(F.when(fit, F.col("n_docs")).otherwise(0)).alias("whole_docs"),
         F.sum(F.least("length", "context") * F.col("n_docs")).alias("truncated_tokens"),
     )
