@@ -27,7 +27,7 @@ ROWS, FEATURES = 12_000, 4_000
 #: A feature in fewer labelled texts than 2, or than one in so many of them, has no weight.
 LEAST = 800
 #: So has one in a larger share of them.
-COMMON = 0.3
+COMMON = 0.9
 LASSO, RIDGE, COUNTERFACTUAL, ROUNDS = 1e-4, 1e-5, 1.0, 600
 
 #: Group names that may stand for one another, as fixed values.
