@@ -68,6 +68,8 @@ def _variants(fps: DataFrame) -> DataFrame:
     ``wild`` 0-31 masks that bit (``side`` is its value), 32 masks none.  Rows
     of one key with other sides differ in exactly the masked bit.
     """
+    # fingerprints are few bytes, so adaptive plans would put them into few tasks before each becomes 66 rows
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("k")).selectExpr(
         "fp", "k", "k % 33 AS wild", "CASE WHEN k < 33 THEN fp & 4294967295 ELSE shiftrightunsigned(fp, 32) END AS seg"
     )
