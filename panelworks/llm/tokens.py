@@ -13,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks that a worker keeps; beyond it the cache starts anew.
-CACHE = 600_000
+#: Chunks of a generation; a worker keeps two, and what is used again moves from the older to the newer.
+CACHE = 150_000
 #: Longer chunks go to the tokenizer each time.
 LONGEST = 64
 #: Bytes of text that are encoded together at most.
@@ -33,10 +33,15 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _age(self) -> None:
+        if len(self.cache) > CACHE:
+            self.cache, self.older = {}, self.cache
+
     def _word(self, word: str) -> bytes:
         """A lower-case Latin word that is one piece to the pre-tokenizer: the model alone decides."""
         text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
@@ -44,14 +49,19 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         """Put chunks into the cache; words are encoded once for all their cases and marks."""
-        cache, other = self.cache, []
+        cache, older, other = self.cache, self.older, []
         for chunk in chunks:
+            if (ids := older.get(chunk)) is not None:
+                cache[chunk] = ids
+                continue
             if not (m := _WORD.fullmatch(chunk)):
                 other.append(chunk)
                 continue
             word, tail = m[1].lower(), m[2]
             if (ids := cache.get(word)) is None:
-                ids = cache[word] = self._word(word)
+                if (ids := older.get(word)) is None:
+                    ids = self._word(word)
+                cache[word] = ids
             if tail:
                 if (last := cache.get(tail)) is None:
                     last = cache[tail] = self._direct(tail)
@@ -73,8 +83,8 @@ class Encoder:
             return b"".join([cache[x] for x in chunks])
         except KeyError:
             pass
-        if len(cache) > CACHE:
-            cache.clear()
+        self._age()
+        cache = self.cache
         seen = set(chunks)
         long = {x for x in seen if len(x) > LONGEST}
         self._learn({x for x in seen if x not in cache} - long)
@@ -93,8 +103,7 @@ class Encoder:
 
     def warm(self, texts: list[str]) -> None:
         """Learn the unseen chunks of a batch at once."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
+        self._age()
         new: set[str] = set()
         for text in texts:
             if len(text) <= PART:

@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     FEATURES of them, and which of those each document has.
     """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), F.col("toxic").cast("int").alias("_pw_y")).groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"))
+    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), (F.col("toxic") > 0).cast("int").alias("_pw_y")).groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"))
     chosen = chosen.orderBy(F.xxhash64("_pw_id"), "_pw_id").limit(rows)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_pw_id"))  # at most ``rows`` ids
 
@@ -162,16 +162,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
+
+        def full(least: int) -> Iterator[pa.RecordBatch]:
+            """Counts so far; those of one feature are summed later, so that memory stays bounded."""
+            for y, own in enumerate(seen):
+                if len(own) > least:
+                    counts = np.fromiter(own.values(), np.int64, len(own))
+                    yield pa.record_batch([pa.array(list(own), pa.string()), pa.array(counts), pa.array(counts * y)], names=["feature", "n", "n1"])
+                    own.clear()
+
         for batch in batches:
             for y, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = seen[y]
                 for x in document_features(set(words.as_py().split())):
                     own[x] = own.get(x, 0) + 1
-        for y, own in enumerate(seen):
-            names = list(own)
-            for at in range(0, len(names), 50_000):
-                part = names[at : at + 50_000]
-                yield pa.record_batch([pa.array(part, pa.string()), pa.array([own[x] for x in part], pa.int64()), pa.array([own[x] * y for x in part], pa.int64())], names=["feature", "n", "n1"])
+                yield from full(100_000)
+        yield from full(0)
 
     base, least = positive / total, max(2, total // LEAST)
     counts = texts.mapInArrow(count, "feature string, n bigint, n1 bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
@@ -204,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
 def _memo_score(model: Model, memo: dict, texts: Iterator) -> list[float]:
     out = []
     for text in texts:
-        if len(memo) > 500_000:
+        if len(memo) > 100_000:
             memo.clear()
         out.append(model.score(text, memo))
     return out
