@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import decontaminate, packing, pii, simhash, toxicity
+from panelworks.llm import decontaminate, packing, pii, similar, toxicity
 from panelworks.llm.common import read, shared_dir
 from panelworks.llm.queries import KEY
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least id stays."""
+    return similar.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: SQL has no tokenizer, no fitted model and no XXH64 majority vote.
+#: SQL has no tokenizer, no fitted model and no XXH64 minimum hashes.
 ORACLE_SQL = None
 
 
