@@ -5,6 +5,8 @@ what the markup inside them shows to be navigation, advert or comment, are its
 text as they stand: copies of an article are no boilerplate.  Of pages without
 such an element, the blocks' tokens are the stream in which a run of RUN tokens
 or more that another page of the host holds too is boilerplate; unique runs stay.
+Pages with the same text are copies and prove nothing about each other's runs,
+and a page of which nearly all repeats is a changed copy, and keeps its text.
 
 The suffixes of a host's concatenated streams are sorted only as far as RUN
 tokens tell them apart, which is all that the question needs: suffixes that
@@ -25,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of the shortest run that counts as repeated.
-RUN = 8
+#: Tokens of the shortest run that counts as repeated, and the share of a page's tokens beyond which repeats are its text.
+RUN, COPY = 8, 0.9
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+>?", re.S)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -148,6 +150,11 @@ def _keys(name: str, tokens: list[tuple[int, str]]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + RUN]), seed) for i in range(len(words) - RUN + 1)], dtype=np.uint64).view(np.int64)
 
 
+def _content(found: list[tuple[str, int]]) -> int:
+    """A hash of the text that may be the page's own: copies agree in it, whatever their menus show."""
+    return xxhash.xxh64_intdigest(" ".join(text for text, kind in found if kind != 1)) - (1 << 63)
+
+
 def _settled(found: list[tuple[str, int]]) -> bool:
     return any(kind == 0 for _, kind in found)
 
@@ -156,7 +163,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars, n_repeated`` for every row of ``page_id, url, html``.
 
     ``n_repeated`` is the number of tokens that were taken out as repeated runs
-    (null where the markup alone decided).  Null and empty pages have an empty
+    (null where the markup alone decided, 0 where nearly all of the text repeats
+    and is kept).  Null and empty pages have an empty
     text; rows of one page_id are one page to the search for repeats; pages
     without a host form one host; an empty table gives no rows; other columns
     are ignored.
@@ -166,11 +174,16 @@ def main_text(pages: DataFrame) -> DataFrame:
     maybe = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>/]"), F.lit(False))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct key of a page, once."""
+        """Each distinct key of a page, once, and the page's content."""
         for batch in batches:
-            keys = [np.unique(_keys(host(u.as_py()), _stream(blocks(h.as_py() or "")))) for u, h in zip(batch.column(1), batch.column(2))]
+            keys, contents = [], []
+            for u, h in zip(batch.column(1), batch.column(2)):
+                found = blocks(h.as_py() or "")
+                keys.append(np.unique(_keys(host(u.as_py()), _stream(found))))
+                contents.append(_content(found))
             rows = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-            yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], names=["page_id", "key"])
+            columns = [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(np.array(contents, np.int64)[rows])]
+            yield pa.record_batch(columns, names=["page_id", "key", "content"])
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Text of the pages whose markup shows an article; of others, the address, blocks and keys."""
@@ -197,7 +210,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     other = rest.unionByName(marked.where("text IS NULL"))
     empty = other.where("text IS NOT NULL").select(*done)
     other = other.where("text IS NULL").withColumn("row", F.xxhash64("page_id", "url", "blocks"))
-    repeated = pages.mapInArrow(suffixes, f"page_id {ids}, key bigint").groupBy("key").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).where("a <> b").select("key")
+    repeated = pages.mapInArrow(suffixes, f"page_id {ids}, key bigint, content bigint").groupBy("key").agg(
+        F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.min("content").alias("c"), F.max("content").alias("d")
+    )
+    repeated = repeated.where("a <> b AND c <> d").select("key")
     hits = other.select("row", F.explode("keys").alias("key")).join(repeated, "key", "left_semi").distinct().groupBy("row").agg(F.collect_set("key").alias("hits"))
     joined = other.drop("text", "keys").join(hits, "row", "left").select("page_id", "url", "blocks", "hits")
 
@@ -211,6 +227,9 @@ def main_text(pages: DataFrame) -> DataFrame:
                 for i, key in enumerate(_keys(host(u.as_py()), tokens).tolist()):
                     if key in hit:
                         keep[i : i + RUN] = False
+                own = np.array([found[k][1] == 2 for k, _ in tokens], dtype=bool)
+                if (own & ~keep).sum() > COPY * own.sum():
+                    keep[:] = True
                 lines: dict[int, list[str]] = {}
                 for (k, token), good in zip(tokens, keep):
                     if good and found[k][1] == 2:

@@ -31,6 +31,16 @@ def test_repeats_of_a_host_go_and_unique_runs_stay(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values()) and html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_copies_without_an_article_element_keep_their_text(spark):
+    menu = "<div>home news sport weather travel culture food contact imprint</div>"
+    text = [" ".join(f"word{k}x{j}" for j in range(120)) for k in range(3)]
+    rows = [(k, "http://h.org/", f"{menu}<p>{t}</p>") for k, t in enumerate([text[0], text[0], text[1]])]
+    rows += [(10, "x", f"<p>{text[2]}</p>"), (11, "y", f"<p>{text[2]}</p>"), (12, "http://n.org/1", f"<p>{text[0]}</p>"), (13, "http://n.org/2", f"<p>{text[0]} changed</p>")]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got[0]["text"] == got[1]["text"] == text[0] and got[2]["text"] == text[1] and got[0]["n_repeated"] == 9
+    assert got[10]["text"] == got[11]["text"] == text[2] and got[12]["text"] == text[0] and got[13]["text"] == f"{text[0]} changed"
+
+
 def test_long_page():
     assert len(html_text.blocks("<article>" + "<p>x y" * 50_000)) == 50_000
 
