@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .html_text import blocks, host
 
-#: Labelled documents (those whose ids hash lowest) that the text model is fitted on, n-grams that it keeps, languages it knows.
-ROWS, GRAMS, LANGUAGES = 4_000, 30_000, 50
+#: About so many labelled documents of each language (those whose hashes are lowest) the text model is fitted on, and n-grams of each that it keeps at most.
+ROWS, GRAMS = 1_000, 12_000
+#: N-grams that unseen ones are smoothed over.
+SPACE = 30_000
 #: N-grams of a text beyond which its likelihood counts no more in total: neighbours aren't independent.
 WEIGHT = 200
 #: Pages that a prior counts for.
@@ -43,21 +45,25 @@ def grams(word: str) -> list[str]:
 
 
 class Model:
-    """Log-likelihoods of n-grams under each language."""
+    """Log-likelihoods of n-grams: what each language that has one adds to ``unseen``, which is the same for all."""
 
-    def __init__(self, languages: list[str], logs: dict[str, tuple[float, ...]], unseen: tuple[float, ...]):
+    def __init__(self, languages: list[str], logs: dict[str, list[tuple[int, float]]], unseen: float):
         self.languages, self.logs, self.unseen, self.memo = languages, logs, unseen, {}
 
     def _word(self, word: str) -> tuple[int, np.ndarray]:
         own = grams(word)
-        return len(own), np.sum([self.logs.get(g, self.unseen) for g in own], axis=0)
+        total = [self.unseen * len(own)] * len(self.languages)
+        for g in own:
+            for k, more in self.logs.get(g, ()):
+                total[k] += more
+        return len(own), np.array(total)
 
     def likelihood(self, text: str) -> list[float]:
         """The text's log-likelihood, scaled to at most WEIGHT n-grams, less its largest."""
         total, n = np.zeros(len(self.languages)), 0
         for word, k in Counter(_WORDS.findall(text.lower())).items():
             if (own := self.memo.get(word)) is None:
-                if len(self.memo) > 200_000:
+                if len(self.memo) * len(self.languages) > 800_000:
                     self.memo.clear()
                 own = self.memo[word] = self._word(word)
             n += k * own[0]
@@ -68,10 +74,12 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = ROWS) -> Model:
-    """The text model, from whole texts of at most ``rows`` documents with a language."""
-    own = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = own.select(F.col("doc_id").alias("_pw_id")).distinct().orderBy(F.xxhash64("_pw_id"), "_pw_id").limit(rows)
-    texts = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("_pw_id")).select(F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string").alias("text"))  # at most ``rows`` ids
+    """The text model, from whole texts of about ``rows`` documents of each language, or all it has."""
+    own = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.lower(F.col("lang").cast("string")).alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
+    sizes = own.groupBy("lang").agg(F.count("*").alias("size"))
+    # a bound for the hash, not a rank: no language is gathered in one task
+    place = (F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5) * F.col("size")
+    texts = own.join(F.broadcast(sizes), "lang").where((F.col("size") <= rows) | (place < rows)).select("lang", "text")  # a row a language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter[str]] = {}
@@ -86,18 +94,26 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
             yield pa.record_batch([pa.array([lang] * len(total), pa.string()), pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["lang", "gram", "n"])
 
     counts = table(texts.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
-    known = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).toPandas()
+    known = counts.groupBy("lang").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(known["lang"])
     if not languages:
-        return Model(["und"], {}, (0.0,))
-    kept = counts.groupBy("gram").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "gram").limit(GRAMS)
-    found = counts.join(F.broadcast(kept), "gram").where(F.col("lang").isin(languages)).select("lang", "gram", "n").toPandas()  # GRAMS times LANGUAGES rows at most
-    totals, place = dict(zip(known["lang"], known["n"])), {x: k for k, x in enumerate(languages)}
-    base = [0.5 / (totals[x] + 0.5 * GRAMS) for x in languages]
-    logs: dict[str, list[float]] = {}
+        return Model(["und"], {}, 0.0)
+    # the least count of each language that at most GRAMS of its n-grams reach
+    least: dict[str, int] = {}
+    for lang, found in counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).toPandas().groupby("lang"):
+        found = found.sort_values("n", ascending=False)
+        fits = found["n"][found["grams"].cumsum() <= GRAMS]
+        least[lang] = int(fits.min() if len(fits) else found["n"].max())
+    bounds = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, least bigint")
+    chosen = counts.join(F.broadcast(bounds), "lang").where("n >= least").select("gram").distinct()
+    found = counts.join(chosen, "gram", "left_semi").select("lang", "gram", "n").toPandas()
+    totals, at = dict(zip(known["lang"], known["n"])), {x: k for k, x in enumerate(languages)}
+    # one floor for all: what no language has seen must not speak for the one with the fewest texts
+    unseen = float(np.log(0.5 / (max(totals.values()) + 0.5 * SPACE)))
+    logs: dict[str, list[tuple[int, float]]] = {}
     for lang, gram, n in found.itertuples(index=False):
-        logs.setdefault(gram, [float(np.log(x)) for x in base])[place[lang]] = float(np.log((n + 0.5) / (totals[lang] + 0.5 * GRAMS)))
-    return Model(languages, {g: tuple(v) for g, v in logs.items()}, tuple(float(np.log(x)) for x in base))
+        logs.setdefault(gram, []).append((at[lang], float(np.log((n + 0.5) / (totals[lang] + 0.5 * SPACE))) - unseen))
+    return Model(languages, logs, unseen)
 
 
 def evidence(pages: DataFrame, model: Model) -> DataFrame:

@@ -58,6 +58,20 @@ def test_language_uses_all_evidence(spark):
     assert {r["lang"] for r in language.identify(df, docs.limit(0)).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_known(spark, monkeypatch):
+    text = lambda k: " ".join(f"{chr(97 + k // 10)}{chr(107 + k % 10)}{x}" for x in ("ab", "cd", "ef", "gh", "ij"))
+    codes = [f"{chr(97 + k // 10)}{chr(97 + k % 10)}" for k in range(56)]
+    docs = spark.createDataFrame([(k * 100 + j, text(k), x) for k, x in enumerate(codes) for j in range(30 if k == 0 else 1)], "doc_id bigint, text string, lang string")
+    monkeypatch.setattr(language, "GRAMS", 40)
+    model = language.train(docs, 10)
+    assert model.languages == codes
+    for k, code in enumerate(codes):
+        found = model.likelihood(text(k))
+        assert codes[found.index(max(found))] == code
+    pages = spark.createDataFrame([(k, f"http://h{k}.org/", f'<html lang="{x}"><article>{text(k)}</article>') for k, x in enumerate(codes[-3:], 53)], "page_id bigint, url string, html string")
+    assert sorted((r["text_lang"], r["declared"]) for r in language.identify(pages, docs).collect()) == [(x, x) for x in codes[-3:]]
+
+
 def test_topk_equals_its_sql(spark, sf):
     same(spark, sf, queries()["op5_topk"], oracle_sql()["op5_topk"])
 
