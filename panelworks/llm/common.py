@@ -33,6 +33,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession) -> int:
+    """The number of partitions that shuffles are set to have."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

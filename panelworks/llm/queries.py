@@ -34,8 +34,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings")
-    return bitslice.top_k(rows, rows.where("vec_id % 100 = 0"))
+    return bitslice.top_k(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
 def op6_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,16 +64,13 @@ def queries() -> dict[str, Query]:
 
 OP5 = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS c FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+  SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT) FOR x IN embedding] AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum([q.c[i] * r.c[i] FOR i IN range(1, len(q.c) + 1)]) AS BIGINT) AS score
-  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 100 = 0
-)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-WHERE rank <= 10
+  SELECT q.row, q.vec_id AS query_id, r.vec_id, coalesce(list_sum([q.c[i] * r.c[i] FOR i IN range(1, len(q.c) + 1)]), 0) AS score
+  FROM v q JOIN v r ON q.row <> r.row AND len(q.c) = len(r.c) WHERE q.vec_id % 100 = 0
+), t AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM t WHERE rank <= 10
 """
 
 
