@@ -1,23 +1,28 @@
-"""Main text of web pages: markup blocks, and a host's repeated token runs.
-
-A page becomes blocks of text.  Blocks in an article or main element, less
-what the markup inside them shows to be navigation, advert or comment, are its
-text as they stand: copies of an article are no boilerplate.  Of pages without
-such an element, the blocks' tokens are the stream in which a run of RUN tokens
-or more that another page of the host holds too is boilerplate; unique runs stay.
-Pages with the same text are copies and prove nothing about each other's runs,
-and a page of which nearly all repeats is a changed copy, and keeps its text.
-
-The suffixes of a host's concatenated streams are sorted only as far as RUN
-tokens tell them apart, which is all that the question needs: suffixes that
-agree in RUN tokens are one bucket of an aggregation, so the array is spread
-over all tasks and a host with a third of the pages is no single group.
+"""Main text of web pages: a host's repeated token runs, with markup as protection.
+
+A page becomes blocks of text: of an article or main element, of what markup
+shows to be no article text (menus, adverts, comments), or neither.
+
+The suffixes of a host's concatenated token streams are put in order as far as
+RUN tokens tell them apart, which is all that "repeated" asks: suffixes that
+agree in RUN tokens are one bucket of an aggregation, so the array is spread over
+all tasks and a host with a third of the pages is no single group.  Neighbours
+in it from pages of different content are a repeated run; runs that follow one
+another are one longer run.  The array is dense (a suffix a token) outside
+articles and sparse (a suffix a block, compared as far as the block goes) inside.
+
+Covered tokens go, unique runs stay.  Inside an article or main element a block
+goes only if it is the same on most of its host's pages; on pages with such
+elements nothing else is text.  Pages with the same text are copies and prove
+nothing about each other's runs, and a page of which most repeats is a changed
+copy, and keeps its text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 #: Tokens of the shortest run that counts as repeated, and the share of a page's tokens beyond which repeats are its text.
 RUN, COPY = 8, 0.9
+#: An article's block is boilerplate if so many contents of its host, and such a share of all of them, have it.
+LEAST, MOST = 4, 0.5
+#: Copies of each repeated key that a join deals out, so that a menu of very many pages is no single key.
+SALTS = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+>?", re.S)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -40,9 +51,11 @@ _BLOCKS = frozenset("address article aside blockquote body br caption center dd
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that mark what is no article text.
 _MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|comment-list|consent|contentinfo|cookie|cookies|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|promotion|related|reply|replies|respond|search|share|sharing|sidebar|signup|skip-link|social|sponsor|sponsored|subscribe|subscription|teaser|toc|toolbar|widget)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|comment-list|consent|contentinfo|cookie|cookies|disqus|footer|gdpr|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|promoted|promotion|related|reply|replies|respond|reviews|search|share|sharing|sidebar|signup|skip-link|social|sponsor|sponsored|subscribe|subscription|teaser|toc|toolbar|user-review|widget)(?=$|[\s_-])",
     re.I,
 )
+_HIDDEN = re.compile(r"\shidden(?=[\s=/>])|\sstyle\s*=\s*[\"']?[^\"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_QUOTED = re.compile(r"(?<!style=)(?:\"[^\"]*\"|'[^']*')", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in _RAW}
 
 
@@ -53,6 +66,7 @@ def _tag(tag: str) -> tuple[str, bool, bool, bool] | None:
         return None
     name = named[2].lower()
     marked = "=" in tag and name not in ("html", "body") and any(_MARKS.search(a or b or c) for a, b, c in _CUES.findall(tag))
+    marked = marked or bool(_HIDDEN.search(_QUOTED.sub("''", tag)))
     return name, bool(named[1]), name in _VOID or tag.endswith("/>"), marked
 
 
@@ -63,7 +77,9 @@ def blocks(page: str) -> list[tuple[str, int]]:
     """
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # name, kind before it
-    kind, parts, at = 2, [], 0
+    opened: Counter[str] = Counter()  # names on the stack
+    # kind 3: an inline element whose text is left out of the block around it, which is of the kind ``base``
+    kind, base, parts, at = 2, 2, [], 0
 
     def close() -> None:
         if parts:
@@ -71,7 +87,13 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.clear()
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append((text, kind))
+                out.append((text, base if kind == 3 else kind))
+
+    def pop() -> str:
+        nonlocal kind
+        name, kind = stack.pop()
+        opened[name] -= 1
+        return name
 
     end = len(page)
     start = page.find("<")
@@ -79,7 +101,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if (found := _TOKEN.match(page, start)) is None:
             start = page.find("<", start + 1)
             continue
-        if start > at:
+        if start > at and kind != 3:
             parts.append(page[at:start])
         at, tag = found.end(), found.group()
         start = page.find("<", at)
@@ -89,17 +111,15 @@ def blocks(page: str) -> list[tuple[str, int]]:
         if closes:
             if name in _BLOCKS:
                 close()
-            if any(x[0] == name for x in stack):
-                while stack:
-                    top, kind = stack.pop()
-                    if top == name:
-                        break
+            if opened[name] > 0:
+                while pop() != name:
+                    pass
             elif name == "p":
                 close()
             continue
         if name in _BLOCKS:
             close()
-        elif name in ("td", "th"):
+        elif name in ("td", "th") and kind != 3:
             parts.append(" ")
         if name in _RAW and not bare:
             stop = _RAW_END[name].search(page, at)
@@ -113,20 +133,23 @@ def blocks(page: str) -> list[tuple[str, int]]:
             if marked:
                 close()
                 new = 1
-            elif kind != 1 or not any(x[0] in ("article", "main") for x in stack):
+            elif kind != 1 or not (opened["article"] or opened["main"]):
                 # an unclosed menu or advert before the article ends with it
                 new = 0
-        elif kind != 1 and (name in _CHROME or marked or name == "header" and kind != 0):
+        elif kind in (0, 2) and marked and name not in _BLOCKS and name not in _CHROME:
+            base, new = kind, 3
+        elif kind in (0, 2) and (name in _CHROME or marked or name == "header" and kind != 0):
             close()
             new = 1
         if name == "p":  # an open paragraph ends where the next begins
             while stack and stack[-1][0] == "p":
-                kind = stack.pop()[1]
+                pop()
             new = 1 if marked else kind
         if name in _BLOCKS or new != kind:
             stack.append((name, kind))
+            opened[name] += 1
             kind = new
-    if at < end:
+    if at < end and kind != 3:
         parts.append(page[at:])
     close()
     return out
@@ -143,101 +166,110 @@ def _stream(found: list[tuple[str, int]]) -> list[tuple[int, str]]:
     return [(k, token) for k, (text, kind) in enumerate(found) if kind for token in text.split()]
 
 
-def _keys(name: str, tokens: list[tuple[int, str]]) -> np.ndarray:
-    """A hash for each place from which RUN tokens follow: of the host and those tokens."""
+def _key(text: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(text, seed) - (1 << 63)
+
+
+def _suffixes(name: str, tokens: list[tuple[int, str]]) -> list[int]:
+    """A key for each place from which RUN tokens follow: of the host and those tokens."""
     seed = xxhash.xxh64_intdigest(name)
     words = [t for _, t in tokens]
-    return np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + RUN]), seed) for i in range(len(words) - RUN + 1)], dtype=np.uint64).view(np.int64)
+    return [_key(" ".join(words[i : i + RUN]), seed) for i in range(len(words) - RUN + 1)]
 
 
-def _content(found: list[tuple[str, int]]) -> int:
-    """A hash of the text that may be the page's own: copies agree in it, whatever their menus show."""
-    return xxhash.xxh64_intdigest(" ".join(text for text, kind in found if kind != 1)) - (1 << 63)
+def parse(url: str | None, page: str | None) -> tuple[str, bool, list[int], list[int], int, int]:
+    """``(text, settled, dense, whole, host, content)`` of a page.
 
+    ``settled``: some text is in an article or main element; text then is its
+    blocks' lines, and otherwise every block's, each behind the digit of its
+    kind.  ``dense`` are the keys of the suffixes outside articles, ``whole``
+    those of an article's blocks, ``host`` and ``content`` hashes: copies agree
+    in content, whatever their menus show.
+    """
+    name, found = host(url), blocks(page or "")
+    settled = any(kind == 0 for _, kind in found)
+    text = [x for x, kind in found if kind == 0] if settled else [f"{kind}{x}" for x, kind in found]
+    seed = xxhash.xxh64_intdigest(name, 1)
+    whole = [_key(x, seed) for x in text] if settled else []
+    content = _key(" ".join(x for x, kind in found if kind == 0 or not settled and kind == 2), 0)
+    return "\n".join(text), settled, _suffixes(name, _stream(found)), whole, seed - (1 << 63), content
+
+
+def decide(text: str, settled: bool, dense: list[int], whole: list[int], hits: set[int], copy: float = COPY) -> tuple[str, int]:
+    """The text that stays, and how many tokens repeated keys cover and take out."""
+    keep = np.ones(len(dense) + RUN - 1, dtype=bool)
+    for i, key in enumerate(dense):
+        if key in hits:
+            keep[i : i + RUN] = False
+    if settled:
+        lines, covered = text.split("\n"), int((~keep).sum())
+        sizes = [len(x.split()) for x in lines]
+        out = [k for k, key in enumerate(whole) if key in hits]
+        if not out or 2 * (gone := sum(sizes[k] for k in out)) > sum(sizes):
+            return text, covered
+        return "\n".join(x for k, x in enumerate(lines) if k not in set(out)), covered + gone
+    found = [(x[1:], int(x[0])) for x in text.split("\n")] if text else []
+    tokens = _stream(found)
+    keep = keep[: len(tokens)]
+    own = np.array([found[k][1] == 2 for k, _ in tokens], dtype=bool)
+    if (own & ~keep).sum() > copy * own.sum():
+        keep[:] = True
+    left: dict[int, list[str]] = {}
+    for (k, token), good in zip(tokens, keep):
+        if good and found[k][1] == 2:
+            left.setdefault(k, []).append(token)
+    return "\n".join(" ".join(x) for x in left.values()), int((~keep).sum())
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``row, page_id, url, text, settled, dense, whole, host, content`` for every row of pages, written once."""
+    ids = pages.schema["page_id"].dataType.simpleString()
+    names = ["text", "settled", "dense", "whole", "host", "content"]
+    kinds = [pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
 
-def _settled(found: list[tuple[str, int]]) -> bool:
-    return any(kind == 0 for _, kind in found)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                out = list(zip(*(parse(u.as_py(), h.as_py()) for u, h in zip(part.column(2), part.column(3)))))
+                yield pa.record_batch([*part.columns[:3], *(pa.array(c, kind) for c, kind in zip(out, kinds))], names=["row", "page_id", "url", *names])
 
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return table(rows.mapInArrow(run, f"row bigint, page_id {ids}, url string, text string, settled boolean, dense array<bigint>, whole array<bigint>, host bigint, content bigint"), "pages")
 
-def main_text(pages: DataFrame) -> DataFrame:
+
+def repeated(each: DataFrame) -> DataFrame:
+    """``key``: of the suffixes that pages of different content share, and of the article blocks that most of a host's contents have."""
+    runs = each.select("content", F.explode("dense").alias("key")).groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b"))
+    of = each.where("settled").select("host", "content", F.explode("whole").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    hosts = each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all"))
+    most = of.join(hosts, "host").where(F.col("n") >= MOST * F.col("all"))
+    return table(runs.where("a <> b").select("key").unionByName(most.select("key")), "repeated")
+
+
+def main_text(pages: DataFrame, copy: float = COPY) -> DataFrame:
     """``page_id, url, text, n_chars, n_repeated`` for every row of ``page_id, url, html``.
 
-    ``n_repeated`` is the number of tokens that were taken out as repeated runs
-    (null where the markup alone decided, 0 where nearly all of the text repeats
-    and is kept).  Null and empty pages have an empty
-    text; rows of one page_id are one page to the search for repeats; pages
-    without a host form one host; an empty table gives no rows; other columns
-    are ignored.
+    ``n_repeated`` is the number of tokens that repeated runs cover outside the
+    article, or that were taken out of it.  Null and empty pages have an empty
+    text; very long ones are read whole; rows that repeat, by id or whole, are
+    pages of their own, and such copies don't count as repeats; pages without a
+    host form one host; an empty table gives no rows; other columns are ignored.
+    ``copy`` is the share of a page's text beyond which its repeats stay.
     """
     ids = pages.schema["page_id"].dataType.simpleString()
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    maybe = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>/]"), F.lit(False))
+    each = parsed(pages)
+    keys = repeated(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    asked = each.select("row", F.explode(F.array_union("dense", "whole")).alias("key"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
+    hits = table(asked.join(keys, ["key", "salt"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("hits")), "hits")  # of one page
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each distinct key of a page, once, and the page's content."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, contents = [], []
-            for u, h in zip(batch.column(1), batch.column(2)):
-                found = blocks(h.as_py() or "")
-                keys.append(np.unique(_keys(host(u.as_py()), _stream(found))))
-                contents.append(_content(found))
-            rows = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-            columns = [batch.column(0).take(pa.array(rows)), pa.array(np.concatenate([*keys, np.empty(0, np.int64)])), pa.array(np.array(contents, np.int64)[rows])]
-            yield pa.record_batch(columns, names=["page_id", "key", "content"])
-
-    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Text of the pages whose markup shows an article; of others, the address, blocks and keys."""
-        for batch in batches:
-            texts, left, keys = [], [], []
-            for u, h in zip(batch.column(1), batch.column(2)):
-                found = blocks(h.as_py() or "")
-                if _settled(found) or not found:
-                    texts.append("\n".join(text for text, kind in found if kind == 0))
-                    left.append(None)
-                    keys.append(None)
-                else:
-                    texts.append(None)
-                    left.append("\n".join(f"{kind}{text}" for text, kind in found))
-                    keys.append(np.unique(_keys(host(u.as_py()), _stream(found))).tolist())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(left, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["page_id", "url", "text", "blocks", "keys"])
-
-    schema = f"page_id {ids}, url string, text string, blocks string, keys array<bigint>"
-    done = "page_id", "url", "text", F.lit(None).cast("bigint").alias("n_repeated")
-    marked = pages.where(maybe).mapInArrow(direct, schema)
-    # a page with the element in its source but without text in it is rare; the two filters parse such pages alike
-    first = marked.where("text IS NOT NULL").select(*done)
-    rest = pages.where(~maybe).mapInArrow(direct, schema)
-    other = rest.unionByName(marked.where("text IS NULL"))
-    empty = other.where("text IS NOT NULL").select(*done)
-    other = other.where("text IS NULL").withColumn("row", F.xxhash64("page_id", "url", "blocks"))
-    repeated = pages.mapInArrow(suffixes, f"page_id {ids}, key bigint, content bigint").groupBy("key").agg(
-        F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.min("content").alias("c"), F.max("content").alias("d")
-    )
-    repeated = repeated.where("a <> b AND c <> d").select("key")
-    hits = other.select("row", F.explode("keys").alias("key")).join(repeated, "key", "left_semi").distinct().groupBy("row").agg(F.collect_set("key").alias("hits"))
-    joined = other.drop("text", "keys").join(hits, "row", "left").select("page_id", "url", "blocks", "hits")
-
-    def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, counts = [], []
-            for u, b, h in zip(*(batch.column(k) for k in (1, 2, 3))):
-                found = [(x[1:], int(x[0])) for x in b.as_py().split("\n")]
-                tokens, hit = _stream(found), set(h.as_py() or ())
-                keep = np.ones(len(tokens), dtype=bool)
-                for i, key in enumerate(_keys(host(u.as_py()), tokens).tolist()):
-                    if key in hit:
-                        keep[i : i + RUN] = False
-                own = np.array([found[k][1] == 2 for k, _ in tokens], dtype=bool)
-                if (own & ~keep).sum() > COPY * own.sum():
-                    keep[:] = True
-                lines: dict[int, list[str]] = {}
-                for (k, token), good in zip(tokens, keep):
-                    if good and found[k][1] == 2:
-                        lines.setdefault(k, []).append(token)
-                texts.append("\n".join(" ".join(x) for x in lines.values()))
-                counts.append(int((~keep).sum()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_repeated"])
-
-    last = joined.mapInArrow(unique, f"page_id {ids}, url string, text string, n_repeated bigint")
-    out = first.unionByName(empty).unionByName(last)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                cells = [decide(*(x.as_py() for x in row[:4]), set(row[4].as_py() or ()), copy) for row in zip(*part.columns[2:])]
+                yield pa.record_batch([*part.columns[:2], pa.array([x for x, _ in cells], pa.string()), pa.array([n for _, n in cells], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
+
+    joined = each.join(hits, "row", "left").select("page_id", "url", "text", "settled", "dense", "whole", "hits")
+    out = joined.mapInArrow(run, f"page_id {ids}, url string, text string, n_repeated bigint")
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_repeated")

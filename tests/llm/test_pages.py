@@ -1,3 +1,6 @@
+import random
+import time
+
 from conftest_llm import ODD
 from oracle import same
 
@@ -41,10 +44,76 @@ def test_copies_without_an_article_element_keep_their_text(spark):
     assert got[10]["text"] == got[11]["text"] == text[2] and got[12]["text"] == text[0] and got[13]["text"] == f"{text[0]} changed"
 
 
+def naive(rows):
+    """Per page, which tokens outside articles lie in a run of RUN tokens that a page of other content holds too, by comparing all runs."""
+    parts = []
+    for url, page in rows:
+        found = html_text.blocks(page or "")
+        settled = any(kind == 0 for _, kind in found)
+        tokens = [t for text, kind in found if kind for t in text.split()]
+        own = " ".join(text for text, kind in found if kind == 0 or not settled and kind == 2)
+        parts.append((html_text.host(url), tokens, own))
+    out = []
+    for name, tokens, own in parts:
+        covered = [False] * len(tokens)
+        for other, theirs, text in parts:
+            if other == name and text != own:
+                for i in range(len(tokens)):
+                    for j in range(len(theirs)):
+                        n = 0
+                        while i + n < len(tokens) and j + n < len(theirs) and tokens[i + n] == theirs[j + n]:
+                            n += 1
+                        if n >= html_text.RUN:
+                            covered[i : i + n] = [True] * n
+        out.append(sum(covered))
+    return out
+
+
+def test_runs_by_comparing_all_substrings(spark):
+    rng = random.Random(5)
+    phrase = lambda n: " ".join(rng.choice("abcdefgh") * rng.choice((1, 2)) for _ in range(n))
+    shared = [phrase(n) for n in (6, 8, 9, 15, 30)]
+    rows = []
+    for k in range(30):
+        parts = [f"<{tag}>{text}</{tag}>" for tag, text in ((rng.choice(("div", "nav", "p")), rng.choice(shared) if rng.random() < 0.5 else phrase(rng.randrange(20))) for _ in range(6))]
+        article = f"<article><p>{phrase(12)} {k}</p></article>" if k % 3 else ""
+        rows.append((k, f"http://{rng.choice('ab')}.org/", "".join(parts[:3]) + article + "".join(parts[3:])))
+    rows += [(40, *rows[0][1:]), (0, *rows[3][1:]), (41, None, "<div>" + shared[4]), (42, "", shared[4] + "</p> x")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, text string, row int")
+    got = sorted((r["page_id"], r["n_repeated"]) for r in html_text.main_text(df.repartition(3), 1.0).collect())
+    assert got == sorted(zip((r[0] for r in rows), naive([r[1:] for r in rows]))) and any(n for _, n in got)
+
+
+def test_a_line_on_most_pages_of_a_host_leaves_articles_and_copies_stay(spark):
+    line = "<p>Read our letter each week</p>"
+    text = lambda k, n=3: "".join(f"<p>own{k} words{j} of the article</p>" for j in range(n))
+    rows = [(k, "http://a.org/", f"<article>{text(k)}{line if k < 7 else ''}</article>") for k in range(10)]
+    rows += [(20 + k, "http://b.org/", f"<article>{text('b', 9)}<p>changed {k}</p></article>") for k in range(6)]
+    rows += [(30 + k, "http://c.org/", f"<article>{text('c')}{line}</article>") for k in range(6)] + [(40 + k, "http://d.org/", f"<main>{text(40 + k)}{line}</main>") for k in range(3)]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all("letter" not in got[k]["text"] and got[k]["n_repeated"] == (5 if k < 7 else 0) and got[k]["text"].count("\n") == 2 for k in range(10))
+    assert all(got[20 + k]["text"].endswith(f"article\nchanged {k}") for k in range(6)) and all(got[k]["text"].endswith("each week") for k in (30, 35, 40, 42))
+
+
+def test_hidden_text_and_reviews():
+    kept = lambda page: "\n".join(x for x, kind in html_text.blocks(f"<article>{page}</article>") if kind == 0)
+    assert kept('<p>a</p><div class="user-reviews"><p>no</p></div><section class=reviews>no</section><p>b') == "a\nb"
+    assert kept("<p hidden>no</p><div style='color:red; display: none'>no<p>no</div><p>a<span hidden>no</span>b</p><p>c") == "ab\nc"
+    assert kept('<p>one <span class="ad">no</span>two</p><p title=" hidden ">three</p><p data-x="a hidden b" class="x-hidden-y">four</p>') == "one two\nthree\nfour"
+    assert kept("<p>a<span hidden>no</p><p>b</p>") == "a\nb" and kept("<span hidden><p>no</span>yes") == "yes"
+
+
 def test_long_page():
     assert len(html_text.blocks("<article>" + "<p>x y" * 50_000)) == 50_000
 
 
+def test_deep_pages_take_time_in_proportion():
+    began = time.process_time()
+    assert html_text.blocks("<div>" * 80_000 + "x" + "</span></b>" * 80_000 + "</div>" * 80_000) == [("x", 2)]
+    assert len(html_text.blocks("<article><nav>" * 40_000 + "x")) == 1
+    assert time.process_time() - began < 10
+
+
 def test_language_uses_all_evidence(spark):
     text = {"en": "the cat and the dog were in this house with that man", "de": "der hund und die katze sind nicht in dem haus gewesen"}
     docs = spark.createDataFrame([(k, text[x], x) for k, x in enumerate(["en", "de"] * 20)], "doc_id bigint, text string, lang string")
