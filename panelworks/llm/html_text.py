@@ -38,8 +38,6 @@ from .common import table
 RUN, COPY = 8, 0.9
 #: An article's block is boilerplate if so many contents of its host, and such a share of all of them, have it.
 LEAST, MOST = 4, 0.5
-#: Copies of each repeated key that a join deals out, so that a menu of very many pages is no single key.
-SALTS = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*'|[\"'])*+>?", re.S)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -195,22 +193,19 @@ def parse(url: str | None, page: str | None) -> tuple[str, bool, list[int], list
     return "\n".join(text), settled, _suffixes(name, _stream(found)), whole, seed - (1 << 63), content
 
 
-def decide(text: str, settled: bool, dense: list[int], whole: list[int], hits: set[int], copy: float = COPY) -> tuple[str, int]:
-    """The text that stays, and how many tokens repeated keys cover and take out."""
-    keep = np.ones(len(dense) + RUN - 1, dtype=bool)
-    for i, key in enumerate(dense):
-        if key in hits:
-            keep[i : i + RUN] = False
+def decide(text: str, settled: bool, hits: list[int], copy: float = COPY) -> tuple[str, int]:
+    """The text that stays, and how many tokens went, by the places of repeated keys: blocks of an article, or else suffixes."""
     if settled:
-        lines, covered = text.split("\n"), int((~keep).sum())
+        lines, out = text.split("\n"), set(hits)
         sizes = [len(x.split()) for x in lines]
-        out = [k for k, key in enumerate(whole) if key in hits]
         if not out or 2 * (gone := sum(sizes[k] for k in out)) > sum(sizes):
-            return text, covered
-        return "\n".join(x for k, x in enumerate(lines) if k not in set(out)), covered + gone
+            return text, 0
+        return "\n".join(x for k, x in enumerate(lines) if k not in out), gone
     found = [(x[1:], int(x[0])) for x in text.split("\n")] if text else []
     tokens = _stream(found)
-    keep = keep[: len(tokens)]
+    keep = np.ones(len(tokens), dtype=bool)
+    for i in hits:
+        keep[i : i + RUN] = False
     own = np.array([found[k][1] == 2 for k, _ in tokens], dtype=bool)
     if (own & ~keep).sum() > copy * own.sum():
         keep[:] = True
@@ -241,7 +236,10 @@ def parsed(pages: DataFrame) -> DataFrame:
 def repeated(each: DataFrame) -> DataFrame:
     """``key``: of the suffixes that pages of different content share, and of the article blocks that most of a host's contents have."""
     runs = each.select("content", F.explode("dense").alias("key")).groupBy("key").agg(F.min("content").alias("a"), F.max("content").alias("b"))
-    of = each.where("settled").select("host", "content", F.explode("whole").alias("key")).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    whole = each.where("settled").select("host", "content", F.explode("whole").alias("key"))
+    # nearly all blocks are unique: plain counts leave them out before copies are told from other pages
+    often = table(whole.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).select("key"), "often")
+    of = whole.join(often, "key", "left_semi").distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
     hosts = each.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("all"))
     most = of.join(hosts, "host").where(F.col("n") >= MOST * F.col("all"))
     return table(runs.where("a <> b").select("key").unionByName(most.select("key")), "repeated")
@@ -250,8 +248,8 @@ def repeated(each: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, copy: float = COPY) -> DataFrame:
     """``page_id, url, text, n_chars, n_repeated`` for every row of ``page_id, url, html``.
 
-    ``n_repeated`` is the number of tokens that repeated runs cover outside the
-    article, or that were taken out of it.  Null and empty pages have an empty
+    ``n_repeated`` is the number of tokens that went as repeated: of an article,
+    or, on pages without one, of all blocks.  Null and empty pages have an empty
     text; very long ones are read whole; rows that repeat, by id or whole, are
     pages of their own, and such copies don't count as repeats; pages without a
     host form one host; an empty table gives no rows; other columns are ignored.
@@ -259,17 +257,17 @@ def main_text(pages: DataFrame, copy: float = COPY) -> DataFrame:
     """
     ids = pages.schema["page_id"].dataType.simpleString()
     each = parsed(pages)
-    keys = repeated(each).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    asked = each.select("row", F.explode(F.array_union("dense", "whole")).alias("key"), F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
-    hits = table(asked.join(keys, ["key", "salt"], "left_semi").groupBy("row").agg(F.collect_set("key").alias("hits")), "hits")  # of one page
+    asked = each.select("row", F.posexplode(F.when(F.col("settled"), F.col("whole")).otherwise(F.col("dense"))).alias("place", "key"))
+    # of pages from which something goes alone, so texts move only where even these are too many to broadcast
+    hits = table(asked.join(repeated(each), "key", "left_semi").groupBy("row").agg(F.collect_list("place").alias("hits")), "hits")  # of one page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                cells = [decide(*(x.as_py() for x in row[:4]), set(row[4].as_py() or ()), copy) for row in zip(*part.columns[2:])]
+                cells = [decide(text.as_py(), settled.as_py(), found.as_py() or [], copy) for text, settled, found in zip(*part.columns[2:])]
                 yield pa.record_batch([*part.columns[:2], pa.array([x for x, _ in cells], pa.string()), pa.array([n for _, n in cells], pa.int64())], names=["page_id", "url", "text", "n_repeated"])
 
-    joined = each.join(hits, "row", "left").select("page_id", "url", "text", "settled", "dense", "whole", "hits")
+    joined = each.join(hits, "row", "left").select("page_id", "url", "text", "settled", "hits")
     out = joined.mapInArrow(run, f"page_id {ids}, url string, text string, n_repeated bigint")
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"), "n_repeated")

@@ -45,19 +45,19 @@ def test_copies_without_an_article_element_keep_their_text(spark):
 
 
 def naive(rows):
-    """Per page, which tokens outside articles lie in a run of RUN tokens that a page of other content holds too, by comparing all runs."""
+    """Per page without an article, how many tokens lie in a run of RUN tokens that a page of other content holds too, by comparing all runs."""
     parts = []
     for url, page in rows:
         found = html_text.blocks(page or "")
         settled = any(kind == 0 for _, kind in found)
         tokens = [t for text, kind in found if kind for t in text.split()]
         own = " ".join(text for text, kind in found if kind == 0 or not settled and kind == 2)
-        parts.append((html_text.host(url), tokens, own))
+        parts.append((html_text.host(url), tokens, own, settled))
     out = []
-    for name, tokens, own in parts:
+    for name, tokens, own, settled in parts:
         covered = [False] * len(tokens)
-        for other, theirs, text in parts:
-            if other == name and text != own:
+        for other, theirs, text, _ in parts:
+            if not settled and other == name and text != own:
                 for i in range(len(tokens)):
                     for j in range(len(theirs)):
                         n = 0
