@@ -1,9 +1,10 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 A test item of n words may be off by ``k = floor(rate * n)`` word edits.  It is
-cut into k + 1 pieces, of which a match within k edits holds one unchanged; an
-automaton finds the pieces' exact hits, and Myers' bit-parallel distance (words
-as symbols) verifies the window that each hit implies.
+cut into k + 1 pieces, of which a match within k edits holds one unchanged (of
+fewer than ``1 / rate`` words the one piece is the item); an automaton finds the
+pieces' exact hits, and Myers' bit-parallel distance (words as symbols) verifies
+the windows that the hits imply, once over each stretch of a document.
 """
 
 from __future__ import annotations
@@ -18,16 +19,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.2
-#: Items with fewer words count only where they are the whole of a document.
-LEAST = 5
 #: Characters of items that are broadcast at once; more items make more passes over the documents.
 BLOCK = 4_000_000
 
 _WORDS = re.compile(r"\w+")
+#: Characters of scripts that are written without blanks (Thai to Khmer, kana, Han), each of which is a word.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SOME = re.compile(f"[{_DENSE}]")
+_MIXED = re.compile(rf"[{_DENSE}]|(?:(?![{_DENSE}])\w)+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_MIXED if not text.isascii() and _SOME.search(text) else _WORDS).findall(text)
 
 
 def myers(pattern: list[str], text: list[str], limit: int) -> tuple[int, int] | None:
@@ -55,14 +59,11 @@ class Finder:
     """The items of one block, and their pieces in an automaton."""
 
     def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.items, self.short = [], {}
+        self.items: list[tuple[object, list[str], int]] = []
         self.pieces = ahocorasick.Automaton()
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            own = words(text)
-            if len(own) < LEAST:
-                if own:
-                    self.short.setdefault(" ".join(own), []).append(item_id)
+            if not (own := words(text)):
                 continue
             limit = int(rate * len(own))
             for k in range(limit + 1):
@@ -77,13 +78,11 @@ class Finder:
     def find(self, text: str | None) -> list[tuple[object, int, int, int, int]]:
         """``(item_id, distance, budget, first word, last word)``: each item's closest match in the text."""
         own = words(text)
-        joined = " ".join(own)
-        out = [(x, 0, 0, 0, len(own) - 1) for x in self.short.get(joined, ())] if own else []
         if not self.items or not own:
-            return out
+            return []
         starts: list[int] = []
-        tried: dict[int, list[tuple[int, int]]] = {}
-        best: dict[int, tuple[int, int]] = {}
+        windows: dict[int, list[list[int]]] = {}
+        joined = " ".join(own)
         for at, (size, places) in self.pieces.iter(f" {joined} "):
             if not starts:
                 place = 0
@@ -93,12 +92,19 @@ class Finder:
             first = bisect_left(starts, at - size + 1)
             for k, offset in places:
                 _, item, limit = self.items[k]
-                low, high = max(0, first - offset - limit), first - offset + len(item) + limit
-                if any(a <= low and high <= b for a, b in tried.get(k, ())[-4:]):
-                    continue
-                # a little wider, so that the item's other pieces fall into the same window
-                low, high = max(0, low - limit), high + limit
-                tried.setdefault(k, []).append((low, high))
+                window = [max(0, first - offset - limit), first - offset + len(item) + limit]
+                # hits come in order, so only the last windows can meet a new one
+                known = windows.setdefault(k, [])
+                while known and window[0] <= known[-1][1]:
+                    low, high = known.pop()
+                    window = [min(low, window[0]), max(high, window[1])]
+                known.append(window)
+        out, best = [], {}
+        for k, known in windows.items():
+            _, item, limit = self.items[k]
+            for low, high in known:
+                if k in best and not best[k][0]:
+                    break
                 if (hit := myers(item, own[low:high], min(limit, best[k][0] - 1) if k in best else limit)) is not None:
                     best[k] = (hit[0], low + hit[1])
         for k, (distance, end) in best.items():
@@ -146,9 +152,12 @@ class _Shared:
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """``doc_id, item_id, distance, budget, first_word, last_word`` for each document and each item that it holds.
 
-    Letters' case, marks and white space don't count.  Null and empty texts hold
-    nothing; items that are null or have no word match nothing; rows of one id
-    give a row each; an empty table gives no rows; other columns are ignored.
+    Letters' case, marks and white space don't count; of equally close places the
+    first counts.  Items of any number of words are found inside longer texts.
+    Null and empty texts hold nothing; very long ones are searched whole; items
+    that are null or have no word match nothing; documents that repeat an id give
+    rows each, items that repeat an id with other texts too; an empty table gives
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ids, items = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
@@ -177,7 +186,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs whose text holds no item, with all their columns."""
+    """The rows of docs whose text holds no item, with all their columns, as leaks() finds them.
+
+    Null and empty texts stay; rows that repeat stay or go each by its own text;
+    without documents or items nothing goes.
+    """
     at = docs.columns.index("text")
     for block in _blocks(benchmark):
         shared = _Shared(docs.sparkSession, block)
