@@ -163,8 +163,23 @@ def test_shards_write_resume_and_replace(spark, good, tmp_path):
     assert shards.read(spark, [path]).count() == 20 and sorted(x.name for x in tmp_path.iterdir()) == ["a.parquet"]
     shards.write(good, path, CONFIG)
     assert shards.read(spark, [path]).count() == 20
+    before = (tmp_path / "a.parquet").read_bytes()
+    with pytest.raises(R.ShardError):  # what is on disk is checked before it takes the place
+        shards.write(good.withColumn("seed", F.lit(7)), path, CONFIG)
+    assert (tmp_path / "a.parquet").read_bytes() == before and sorted(x.name for x in tmp_path.iterdir()) == ["a.parquet"]
     with pytest.raises(R.ShardError):
         shards.write(good, f"{tmp_path}/a.csv", CONFIG)
+    (tmp_path / "b.parquet").mkdir()
+    with pytest.raises(R.ShardError, match="no file"):
+        shards.write(good, f"{tmp_path}/b.parquet", CONFIG)
+
+
+def test_lazily_checked_shards_raise_where_they_are_used(spark, good):
+    for bad, said in ((good.unionByName(good.limit(1)), "duplicate"), (good.withColumn("logical_shard_id", F.when(F.col("horizon") == 1, "x").otherwise(F.col("logical_shard_id"))), "two shards")):
+        with pytest.raises(Exception, match=said):
+            shards.pending(good.select("ticker", "origin").distinct(), shards.completed(bad, check=False), CONFIG.model, 42).collect()
+        with pytest.raises(R.ShardError, match=said):
+            shards.completed(bad)
 
 
 def test_partitioned_writes_replace_their_own_shards(spark, good, tmp_path):

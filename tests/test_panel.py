@@ -1,11 +1,15 @@
 import datetime
+import hashlib
+import io
 import json
+import subprocess
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from panelworks.operators import evaluate, panel
-from panelworks.sources import manifest, tables
+from panelworks.sources import manifest, package, tables
 from panelworks.streaming.bars import run_available, stream_bars
 
 DAY = datetime.date(2024, 1, 1)
@@ -60,20 +64,60 @@ def test_plans_push_down_and_prune(spark, sf):
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,0.0)" in plan and "l_tax" not in plan
 
 
-def test_manifest(tmp_path):
-    path = manifest.atomic_write_json(tmp_path / "a" / "b.json", {"b": 2, "a": 1})
-    assert json.loads(path.read_text()) == {"a": 1, "b": 2} and [x.name for x in path.parent.iterdir()] == ["b.json"]
-    assert manifest.stable_hash({"b": 2, "a": 1}) == manifest.stable_hash({"a": 1, "b": 2})
-    (tmp_path / "c.yaml").write_text('{"x": {"y": 1}}')
-    config = manifest.load_config(tmp_path / "c.yaml")
-    assert config["x"]["y"] == 1 and len(config["_meta"]["sha256"]) == 64
-    (tmp_path / "d.yaml").write_text("[1]")
-    with pytest.raises(ValueError):
-        manifest.load_config(tmp_path / "d.yaml")
+def test_json_files_are_replaced_whole(spark, tmp_path):
+    path = f"{tmp_path}/deep/er/run.json"
+    for value in ({"z": [1, {"y": DAY}], "a": None}, {"only": "this"}):
+        assert manifest.atomic_write_json(path, value, spark) == path
+    assert (tmp_path / "deep" / "er" / "run.json").read_text() == '{\n  "only": "this"\n}\n'
     with pytest.raises(TypeError):
-        manifest.atomic_write_json(tmp_path / "e.json", {("a",): 1})
-    assert not (tmp_path / "e.json").exists()
-    assert {"commit", "dirty", "status"} == set(manifest.git_state(".")) and "pid" in manifest.runtime_environment()
+        manifest.atomic_write_json(path, {("no", "key"): 1}, spark)
+    assert [x.name for x in (tmp_path / "deep" / "er").iterdir() if not x.name.endswith(".crc")] == ["run.json"]
+    assert json.loads((tmp_path / "deep" / "er" / "run.json").read_text()) == {"only": "this"}
+
+
+def test_hashes_and_provenance(spark, tmp_path):
+    assert manifest.canonical_json({"z": 1, "a": [DAY, 2.5]}) == '{"a":["2024-01-01",2.5],"z":1}'
+    assert manifest.stable_hash({"z": 1, "a": "\u00e9"}) == hashlib.sha256(b'{"a":"\\u00e9","z":1}').hexdigest()
+    run = manifest.Provenance({"x": 1}, {"commit": None})
+    assert run.identity == manifest.Provenance({"x": 1}, {"commit": None}, {}).identity != manifest.Provenance({"x": 2}, {"commit": None}).identity
+    told = json.loads(open(run.save(f"{tmp_path}/p.json", spark)).read())
+    assert told["identity"] == run.identity and {"captured_at", "hostname", "platform", "python", "pid"} <= set(told["machine"])
+    assert manifest.runtime_environment(spark)["spark"] == spark.version
+
+
+def test_configurations_are_mappings(tmp_path):
+    (tmp_path / "ok.yaml").write_text('{"outer": {"inner": [1]}}')
+    found = manifest.load_config(tmp_path / "ok.yaml")
+    assert found["outer"] == {"inner": [1]} and found["_meta"] == {"path": str(tmp_path / "ok.yaml"), "sha256": hashlib.sha256(b'{"outer": {"inner": [1]}}').hexdigest()}
+    (tmp_path / "list.yaml").write_text("[1]")
+    with pytest.raises(ValueError):
+        manifest.load_config(tmp_path / "list.yaml")
+
+
+def test_git_state(tmp_path, monkeypatch):
+    monkeypatch.setenv("GIT_CEILING_DIRECTORIES", str(tmp_path))
+    monkeypatch.setenv("GIT_CONFIG_GLOBAL", "/dev/null")
+    own = tmp_path / "own"
+    own.mkdir()
+    with pytest.raises(subprocess.CalledProcessError):
+        manifest.git_state(own)
+    git = lambda *a: subprocess.run(["git", "-C", str(own), "-c", "user.name=x", "-c", "user.email=x@y", *a], check=True, capture_output=True, text=True).stdout.strip()
+    git("init", "-q")
+    assert manifest.git_state(own) == {"commit": None, "dirty": False, "status": []}
+    (own / "a b.txt").write_text("1")
+    assert manifest.git_state(own) == {"commit": None, "dirty": True, "status": ["?? a b.txt"]}
+    git("add", "."), git("commit", "-qm", "one")
+    assert manifest.git_state(own) == {"commit": git("rev-parse", "HEAD"), "dirty": False, "status": []}
+    (own / "a b.txt").write_text("2")
+    assert manifest.git_state(own)["status"] == [" M a b.txt"]
+
+
+def test_the_package_is_shipped_whole_and_once(spark):
+    names = zipfile.ZipFile(io.BytesIO(package.archive())).namelist()
+    assert "panelworks/operators/ledger.py" in names and package.archive() == package.archive()
+    before = len(spark.sparkContext._python_includes)
+    package.ship(spark), package.ship(spark)
+    assert len(spark.sparkContext._python_includes) <= before + 1
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
