@@ -21,9 +21,10 @@ def tradable(x: Column) -> Column:
     return finite(x) & (x > 0)
 
 
-def total(array: Column, of=lambda x: x) -> Column:
-    """The sum of an array, in its order, from 0.0."""
-    return F.aggregate(array, F.lit(0.0), lambda a, x: a + of(x))
+def wall_clock(told: Column) -> Column:
+    """The local wall time of an ISO text, whatever offset or Z stands behind it; no session time zone moves it."""
+    offset = r"^(.*:[0-9]{2}(?:\.[0-9]+)?)\s*(?:Z|[+-][0-9]{2}(?::?[0-9]{2}){0,2})$"
+    return F.regexp_replace(told.cast("string"), offset, "$1").cast("timestamp_ntz")
 
 
 def guarded_corr(x: Column, y: Column) -> Column:

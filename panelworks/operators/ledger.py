@@ -255,12 +255,11 @@ def simulate(bars: DataFrame, scores: DataFrame, strategies: Sequence[Strategy]
             raise ValueError("at least two sessions are required")
     spark, day = bars.sparkSession, bars.schema["session"].dataType.simpleString()
     days = sessions_of(bars, scores, 2 * max(x.topk for x in strategies))
-    # one row holds one run; strategies, a few rows of parameters, share it
+    # a run needs its sessions one after another, so each strategy, a row of parameters, gets them in one ordered array
     in_order = lambda a, b: a["i"] - b["i"]
-    whole = days.groupBy().agg(F.array_sort(F.collect_list(F.struct(*days.columns)), in_order).alias("days"))
     fields = list(Strategy.__dataclass_fields__)
     rules = spark.createDataFrame([tuple(getattr(x, f) for f in fields) for x in strategies], "strategy_id string, topk int, n_drop int, hold_thresh int, target_exposure double, initial_cash double, cost_bps_per_side double")
-    runs = rules.repartition(len(strategies), "strategy_id").crossJoin(F.broadcast(whole))
+    runs = days.crossJoin(F.broadcast(rules)).groupBy(*fields).agg(F.array_sort(F.collect_list(F.struct(*days.columns)), in_order).alias("days"))  # as many rows as strategies were given
     p = {f: F.col(f) for f in fields}
     zero = F.struct(
         F.col("initial_cash").alias("cash"),
@@ -303,16 +302,19 @@ def drawdowns(account: DataFrame) -> DataFrame:
 
 
 def reconcile(ledger: Ledger, atol: float = 1e-8) -> DataFrame:
+    return unbalanced(ledger.account, ledger.fills, ledger.folded.select("strategy_id", "initial_cash"), atol)
+
+
+def unbalanced(account: DataFrame, fills: DataFrame, start: DataFrame, atol: float = 1e-8) -> DataFrame:
     """``strategy_id, session, rule``: sessions where the books don't balance.
 
     ``identity``: cash and holdings make the account; ``leverage``: negative
-    cash; ``replay``: cash as fills alone give it (within atol of its size).
+    cash; ``replay``: cash as fills alone give it (within atol of its size), from
+    the initial cash of ``start``.
     """
-    account = ledger.account
     flow = F.when(F.col("side") == "sell", F.col("gross_value") - F.col("fee")).otherwise(-(F.col("gross_value") + F.col("fee")))
-    flows = ledger.fills.groupBy("strategy_id", F.col("execution_date").alias("session")).agg(F.sum(flow).alias("flow"))
+    flows = fills.groupBy("strategy_id", F.col("execution_date").alias("session")).agg(F.sum(flow).alias("flow"))
     w = Window.partitionBy("strategy_id").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    start = ledger.folded.select("strategy_id", "initial_cash")
     rows = account.join(flows, ["strategy_id", "session"], "left").join(start, "strategy_id")
     rows = rows.withColumn("replayed", F.col("initial_cash") + F.sum(F.coalesce("flow", F.lit(0.0))).over(w))
     rows = rows.withColumn("size", F.greatest(F.lit(1.0), F.max("account_value").over(w)))

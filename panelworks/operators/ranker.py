@@ -6,8 +6,6 @@ names; it is another learner, so its scores are not comparable with that one's.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -20,12 +18,17 @@ CANDIDATES = ((2, 4), (2, 8), (3, 4))
 
 
 def frame(bars: DataFrame, *splits: str) -> DataFrame:
-    """``origin, ticker, features, label, split`` of rows whose features are all there."""
+    """``origin, ticker, features, label, label_end, split`` of rows whose features are all there; split is null between the splits."""
     features = panel.causal_features(bars)
     names = [c for c in features.columns if c not in ("session", "ticker")]
-    labels = panel.assign_split(panel.forward_label(bars), *splits).select("session", "ticker", "label", "split")
-    rows = features.dropna().join(labels, ["session", "ticker"]).where("split IS NOT NULL")
-    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select(F.col("session").alias("origin"), "ticker", "features", "label", "split")
+    labels = panel.assign_split(panel.forward_label(bars), *splits).select("session", "ticker", "label", "label_end", "split")
+    rows = features.dropna().join(labels, ["session", "ticker"])
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rows).select(F.col("session").alias("origin"), "ticker", "features", "label", "label_end", "split")
+
+
+def refit_rows(rows: DataFrame, *splits: str) -> DataFrame:
+    """The rows of frame() that the last fit sees: all whose labels end by the end of validation, whatever their split."""
+    return rows.where(F.col("label_end") <= F.lit(splits[2]).cast("date"))
 
 
 def fit(train: DataFrame, depth: int, rounds: int, seed: int = 42):
@@ -36,7 +39,7 @@ def search(bars: DataFrame, *splits: str, candidates=CANDIDATES) -> DataFrame:
     """``depth, rounds, dates, rank_ic, place``: every candidate, fitted on development alone; ties go to the simpler."""
     if len(candidates) > 12:
         raise ValueError("at most 12 candidates")
-    rows = frame(bars, *splits).persist()
+    rows = frame(bars, *splits).where("split IS NOT NULL").persist()
     try:
         train, valid = rows.where("split = 'development'"), rows.where("split = 'validation'")
         found = []
@@ -56,5 +59,5 @@ def search(bars: DataFrame, *splits: str, candidates=CANDIDATES) -> DataFrame:
 def refit(bars: DataFrame, *splits: str, depth: int, rounds: int) -> DataFrame:
     """``origin, ticker, score`` of the test rows, by the chosen candidate fitted once on all labels that end before."""
     rows = frame(bars, *splits)
-    model = fit(reduce(DataFrame.unionByName, [rows.where(F.col("split") == s) for s in ("development", "validation")]), depth, rounds)
+    model = fit(refit_rows(rows, *splits), depth, rounds)
     return model.transform(rows.where("split = 'test'")).select("origin", "ticker", "score")

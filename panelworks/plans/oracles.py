@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.identity import SEED_MODULUS, SEED_TAG, SHARD_TAG
-from .queries import SPLITS
+from .queries import SEEDS, SPLITS
 
 _ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, px"
 
@@ -54,6 +54,17 @@ def _ic(pairs: str, out: str, score: str = "score") -> str:
 )"""
 
 
+PAIRED = f"""{BARS}, {LABELS}, {SCORES}, {_scores('slow', 12)}, both_ AS (SELECT a.origin, a.ticker, a.score AS a_score, b.score AS b_score, label
+FROM scores a JOIN slow b ON a.origin = b.origin AND a.ticker = b.ticker JOIN labels_ l ON l.session = a.origin AND l.ticker = a.ticker),
+{_ic('both_', 'ica', 'a_score')}, {_ic('both_', 'icb', 'b_score')}"""
+
+
+def _seeded(seed: int) -> str:
+    """Scores with the noise of a seed."""
+    noise = f"(('0x' || substr(md5(concat_ws(':', '{seed}', CAST(origin AS VARCHAR), ticker)), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5) / 10"
+    return f"{_scores('momentum', 4)}, scores AS (SELECT origin, ticker, score + {noise} AS score FROM momentum)"
+
+
 def _bootstrap(block: int) -> str:
     return f"""
 SELECT {block} AS block, CAST(max(n) AS BIGINT) AS dates, round(max(total / n), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high
@@ -99,9 +110,10 @@ SHARDS = f"""
 SELECT ticker, substr(sha256('{{"contract":"{SHARD_TAG}","keys":[' || {_KEYS} || '],"seed":42,"split":"validation"}}'), 1, 24) AS logical_shard_id
 FROM bars GROUP BY ticker"""
 
-#: The ledger as a recursion over sessions; each level of subqueries is one step of a session.
-LEDGER = f"""
-WITH RECURSIVE {BARS}, {SCORES}, rules(strategy_id, rate) AS (VALUES ('cost_00', 0.0::DOUBLE), ('cost_05', 0.0005::DOUBLE), ('cost_15', 0.0015::DOUBLE)),
+def _ledger(scores: str) -> str:
+    """The ledger as a recursion over sessions; each level of subqueries is one step of a session."""
+    return f"""
+WITH RECURSIVE {BARS}, {scores}, rules(strategy_id, rate) AS (VALUES ('cost_00', 0.0::DOUBLE), ('cost_05', 0.0005::DOUBLE), ('cost_15', 0.0015::DOUBLE)),
 days AS (SELECT session, row_number() OVER (ORDER BY session) AS i, lag(session) OVER (ORDER BY session) AS signal_date FROM (SELECT DISTINCT session FROM bars)),
 ranked_ AS (
   SELECT origin, list(ticker ORDER BY score DESC, ticker) AS ranked, map_from_entries(list({{'k': ticker, 'v': score}})) AS score
@@ -162,6 +174,9 @@ returns AS (
 )
 """
 
+
+LEDGER = _ledger(SCORES)
+
 _ACCOUNT = """SELECT strategy_id, session, round(ln(account_value), 6) AS ln_account_value, round(cash / account_value, 6) AS cash, round(market_value / account_value, 6) AS market_value,
 round(fees / account_value, 6) AS fees, round(traded_value / account_value, 6) AS traded_value, positions, carried_valuations FROM account"""
 
@@ -170,9 +185,9 @@ _BARS_OUT = "session, ticker, open, high, low, close, volume"
 
 #: Columns of dates and times, as text in the result.
 _DATES = {
-    "session": "bars_weekly bars_events_hourly forward_label forward_label_strict label_end_split context_complete_90 turnover_proxy causal_features rank_average_ties signal_next_session ledger_account cost_sensitivity net_return drawdown reconcile_violations buy_hold",
-    "label_end": "forward_label forward_label_strict label_end_split",
-    "origin": "rank_ic_daily rank_ic_paired mae_daily coverage_daily topk_by_origin request_violations prediction_long predictions_pandas pending_origins",
+    "session": "bars_weekly bars_events_hourly forward_label forward_label_strict label_end_split context_complete_90 turnover_proxy causal_features rank_average_ties signal_next_session ledger_account cost_sensitivity net_return drawdown reconcile_violations buy_hold wall_clock",
+    "label_end": "forward_label forward_label_strict label_end_split refit_rows",
+    "origin": "rank_ic_daily rank_ic_paired mae_daily coverage_daily topk_by_origin request_violations prediction_long predictions_pandas pending_origins refit_rows",
     "forecast_date": "prediction_long predictions_pandas",
     "signal_date": "signal_next_session ledger_fills ledger_rejects",
     "execution_date": "ledger_fills ledger_rejects",
@@ -214,13 +229,21 @@ def _sql() -> dict[str, str]:
             SELECT session, ticker, CAST(rank() OVER (PARTITION BY session ORDER BY x) + (count(*) OVER (PARTITION BY session, x) - 1) / 2.0 AS DOUBLE) AS rank FROM v""",
         "rank_ic_daily": f"WITH {PAIRS}, {_ic('pairs', 'ic')} SELECT origin, n, round(rank_ic, 6) AS rank_ic FROM ic",
         "rank_ic_mean": f"WITH {PAIRS}, {_ic('pairs', 'ic')} SELECT count(rank_ic) AS dates, round(avg(rank_ic), 6) AS mean_rank_ic FROM ic",
-        "rank_ic_paired": f"""WITH {BARS}, {LABELS}, {SCORES}, {_scores('slow', 12)}, both_ AS (SELECT a.origin, a.ticker, a.score AS a_score, b.score AS b_score, label
-            FROM scores a JOIN slow b ON a.origin = b.origin AND a.ticker = b.ticker JOIN labels_ l ON l.session = a.origin AND l.ticker = a.ticker),
-            {_ic('both_', 'ica', 'a_score')}, {_ic('both_', 'icb', 'b_score')} SELECT ica.origin, ica.n, round(ica.rank_ic - icb.rank_ic, 6) AS difference FROM ica JOIN icb ON ica.origin = icb.origin""",
+        "rank_ic_paired": f"""WITH {PAIRED} SELECT ica.origin, ica.n, round(ica.rank_ic - icb.rank_ic, 6) AS difference FROM ica JOIN icb ON ica.origin = icb.origin""",
+        "mae_mean": f"""WITH {PAIRS}, d AS (SELECT origin, avg(abs(score - label)) AS mae, avg(abs(label)) AS zero_mae FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY origin)
+            SELECT count(mae) AS dates, round(avg(mae), 6) AS mean_mae, round(avg(mae * 10000), 3) AS mean_mae_bps, round(avg(zero_mae), 6) AS mean_zero_mae FROM d""",
         "mae_daily": f"""WITH {PAIRS} SELECT origin, round(avg(abs(score - label)), 6) AS mae, round(avg(abs(score - label)) * 10000, 3) AS mae_bps, round(avg(abs(label)), 6) AS zero_mae
             FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL GROUP BY origin""",
         "coverage_daily": f"""WITH {BARS}, {SCORES} SELECT b.session AS origin, count(*) AS expected, count(s.score) AS scored, round(count(s.score) / count(*), 6) AS coverage, count(s.score) >= 3 AS enough
             FROM bars b LEFT JOIN scores s ON s.origin = b.session AND s.ticker = b.ticker GROUP BY b.session""",
+        "bootstrap_paired": f"""WITH {PAIRED}, diff AS (SELECT ica.origin, ica.rank_ic - icb.rank_ic AS x FROM ica JOIN icb ON ica.origin = icb.origin),
+            prefix AS (SELECT CAST(row_number() OVER (ORDER BY origin) AS BIGINT) AS i, sum(x) OVER (ORDER BY origin) AS s FROM diff WHERE x IS NOT NULL)
+            {' UNION ALL '.join(_bootstrap(b) for b in (10, 20, 40))}""",
+        "runtime": f"""WITH {BARS}, {CONTEXT} SELECT 'surrogate-drift' AS model, 42 AS seed, count(DISTINCT ticker) AS shards, count(*) AS forecasts,
+            (SELECT sum(CAST(substr(ticker, 7, 2) AS DOUBLE) / 4) FROM (SELECT DISTINCT ticker FROM requests)) AS seconds FROM requests HAVING count(*) > 0""",
+        "wall_clock": "SELECT event_id, CAST(ts AS DATE) AS session, hour(ts) AS hour, minute(ts) AS minute FROM events",
+        "seed_sensitivity": " UNION ALL ".join(f"""SELECT * FROM ({_ledger(_seeded(seed))}, {LABELS}, pairs AS (SELECT origin, s.ticker, score, label FROM scores s JOIN labels_ l ON l.session = s.origin AND l.ticker = s.ticker),
+            {_ic('pairs', 'ic')} SELECT {seed} AS seed, strategy_id, round(ln(arg_max(account_value, session)), 6) AS ln_ending_value, (SELECT round(avg(rank_ic), 6) FROM ic) AS mean_rank_ic FROM account GROUP BY strategy_id)""" for seed in SEEDS),
         "bootstrap_ci": f"""WITH {PAIRS}, {_ic('pairs', 'ic')}, prefix AS (SELECT CAST(row_number() OVER (ORDER BY origin) AS BIGINT) AS i, sum(rank_ic) OVER (ORDER BY origin) AS s FROM ic WHERE rank_ic IS NOT NULL)
             {' UNION ALL '.join(_bootstrap(b) for b in (10, 20, 40))}""",
         "topk_by_origin": f"""WITH {BARS}, {SCORES} SELECT origin, ticker, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY score DESC, ticker) AS rank FROM scores) WHERE rank <= 5""",
@@ -228,13 +251,17 @@ def _sql() -> dict[str, str]:
         "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
         "shard_identity": f"WITH {BARS} {SHARDS}",
         "effective_seed": f"""WITH {BARS}, s AS ({SHARDS}) SELECT *, CAST(('0x' || substr(sha256('{SEED_TAG}' || chr(0) || '42' || chr(0) || logical_shard_id), 1, 16))::UBIGINT % {SEED_MODULUS} AS BIGINT) AS effective_seed FROM s""",
-        "request_violations": f"""WITH {BARS}, {CONTEXT} SELECT ticker, origin, 'forecast_size' AS rule FROM requests WHERE month(origin) = 5
-            UNION ALL SELECT ticker, origin, 'non_negative_volume' FROM requests WHERE month(origin) = 6 UNION ALL SELECT ticker, origin, 'duplicate' FROM requests WHERE month(origin) = 7 AND ticker = 'Brand#11'""",
+        "request_violations": f"""WITH {BARS}, {CONTEXT} SELECT CASE month(origin) WHEN 1 THEN '  ' ELSE ticker END AS ticker, CASE month(origin) WHEN 9 THEN origin - 1 ELSE origin END AS origin,
+            ['ticker', 'history_size', 'history_order', 'history_dates_size', 'forecast_size', 'non_negative_volume', 'duplicate', 'forecast_order', 'origin', 'forecast_after_origin', 'finite', 'positive_prices'][month(origin)] AS rule
+            FROM requests WHERE ticker = 'Brand#11'""",
         "prediction_long": PREDICTION_LONG,
         "predictions_pandas": PREDICTION_LONG,
-        "prediction_violations": f"""WITH {BARS}, {CONTEXT}, {DRIFT}, first_ AS (SELECT max(origin) AS last FROM requests WHERE ticker = 'Brand#12')
-            SELECT rule, CAST(n AS BIGINT) AS n FROM (SELECT 'positive_prices' AS rule, count(*) AS n FROM requests WHERE ticker = 'Brand#11'
-            UNION ALL SELECT 'date_after_origin', count(*) FROM requests WHERE ticker = 'Brand#12') WHERE n > 0""",
+        "prediction_violations": f"""WITH {BARS}, {CONTEXT}, m AS (SELECT ticker, count(*) AS m FROM requests GROUP BY ticker),
+            planted(brand, rule, of_origins, once) AS (VALUES (11, 'positive_prices', 1, 0), (11, 'score_recomputed', 1, 0), (12, 'date_after_origin', 1, 0), (13, 'finite', 1, 0), (13, 'score_recomputed', 1, 0),
+              (14, 'elapsed', 10, 0), (15, 'metadata', 10, 0), (21, 'constant', 0, 1), (22, 'amount_source', 1, 0), (23, 'horizons', 1, 0), (24, 'origin_constant', 1, 0), (25, 'input_end', 10, 0),
+              (31, 'date_order', 1, 0), (32, 'score_recomputed', 1, 0), (33, 'effective_seed', 10, 0), (34, 'shard_id', 0, 1), (34, 'effective_seed', 10, 0),
+              (35, 'unique_key', 1, 0), (35, 'horizons', 1, 0), (35, 'date_order', 1, 0), (35, 'score_recomputed', 1, 0))
+            SELECT rule, count(*) AS shards, CAST(sum(of_origins * m + once) AS BIGINT) AS n FROM planted JOIN m ON m.ticker = 'Brand#' || brand GROUP BY rule""",
         "prediction_violations_clean": "SELECT CAST(NULL AS VARCHAR) AS rule, CAST(NULL AS BIGINT) AS n WHERE false",
         "pending_origins": f"WITH {BARS}, {CONTEXT} SELECT ticker, origin FROM requests WHERE origin >= DATE '1996-01-01'",
         "ledger_account": f"{LEDGER} {_ACCOUNT} WHERE strategy_id = 'cost_05'",
@@ -251,7 +278,15 @@ def _sql() -> dict[str, str]:
         "portfolio_metrics": f"""{LEDGER} SELECT strategy_id, round(ln(arg_max(account_value, session) / (arg_min(account_value, session) / (1 + arg_min(net_return, session)))), 6) AS ln_growth,
             round(CASE WHEN stddev_samp(net_return) > 0 THEN sqrt(252) * avg(net_return) / stddev_samp(net_return) END, 6) AS net_sharpe_zero_cash, round(min(account_value / peak - 1), 6) AS max_drawdown,
             round(ln(sum(traded_value)), 6) AS ln_turnover, round(ln(sum(fees) + 1), 6) AS ln_costs, round(ln(arg_max(account_value, session)), 6) AS ln_ending_value FROM returns GROUP BY strategy_id""",
-        "reconcile_violations": "SELECT CAST(NULL AS VARCHAR) AS strategy_id, CAST(NULL AS DATE) AS session, CAST(NULL AS VARCHAR) AS rule WHERE false",
+        "reconcile_violations": f"""{LEDGER} SELECT strategy_id, session, rule FROM account JOIN (VALUES (3, 'identity'), (6, 'leverage'), (6, 'replay'), (9, 'replay')) p(m, rule) ON m = month(session)""",
+        "reconcile_clean": f"{LEDGER} SELECT strategy_id, count(*) AS sessions, 0 AS broken FROM account GROUP BY strategy_id",
+        "refit_rows": f"""WITH {BARS}, {LABELS}, s AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY ticker ORDER BY session)) AS step FROM bars),
+            f AS (SELECT session, ticker FROM (SELECT session, ticker, step, lag(close, 4) OVER w AS back, stddev_samp(step) OVER w20 AS spread, max(high) OVER w20 > min(low) OVER w20 AS moved FROM s
+              WINDOW w AS (PARTITION BY ticker ORDER BY session), w20 AS (PARTITION BY ticker ORDER BY session ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+              WHERE step IS NOT NULL AND back IS NOT NULL AND spread IS NOT NULL AND moved),
+            l AS (SELECT f.session, label_end, CASE WHEN label_end <= DATE '{dev}' THEN 'development' WHEN f.session >= DATE '{v0}' AND f.session <= DATE '{v1}' THEN 'validation' ELSE 'between' END AS split
+              FROM f JOIN labels_ USING (session, ticker) WHERE label_end <= DATE '{v1}')
+            SELECT split, count(*) AS n, min(session) AS origin, max(label_end) AS label_end FROM l GROUP BY split""",
         "buy_hold": f"""WITH {BARS}, f AS (SELECT ticker, open AS cost FROM bars WHERE session = (SELECT min(session) FROM bars) AND open > 0), h AS (SELECT ticker, cost, 950000.0 / (SELECT count(*) FROM f) / cost AS shares FROM f),
             grid AS (SELECT d.session, h.ticker, cost, shares, b.close FROM (SELECT DISTINCT session FROM bars) d CROSS JOIN h LEFT JOIN bars b ON b.session = d.session AND b.ticker = h.ticker),
             marked AS (SELECT session, shares, coalesce(last_value(close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY session), cost) AS mark FROM grid)

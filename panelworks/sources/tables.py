@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def split_scan(spark: SparkSession, files: Mapping[str, str], pinned: Mapping[str, str] | None = None) -> DataFrame:
+    """The rows of one Parquet file a split, with the split's name in ``file_split``; other files of their folders aren't read.
+
+    ``pinned`` gives the SHA-256 of the splits' files: bytes that differ raise
+    before any row is read.
+    """
+    for name, digest in (pinned or {}).items():
+        found = spark.read.format("binaryFile").load(files[name]).select(F.sha2("content", 256)).collect()  # one file, one row
+        if [r[0] for r in found] != [digest]:
+            raise ValueError(f"the file of {name} isn't the pinned one")
+    return reduce(DataFrame.unionByName, [spark.read.parquet(path).withColumn("file_split", F.lit(name)) for name, path in files.items()])
+
+
 def bars(rows: DataFrame, session, ticker, price, volume, order) -> DataFrame:
     """``session, ticker, open, high, low, close, volume`` from single trades; order must tell all of them apart.
 

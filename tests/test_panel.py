@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from panelworks.functions.columns import wall_clock
 from panelworks.operators import evaluate, panel
 from panelworks.sources import manifest, package, tables
 from panelworks.streaming.bars import run_available, stream_bars
@@ -49,9 +50,27 @@ def test_ranks_share_ties_and_constant_scores_have_no_ic(spark):
 
 def test_bootstrap_covers_the_mean_and_is_repeatable(spark):
     daily = spark.range(100).select(F.col("id").alias("origin"), ((F.col("id") * 37) % 11).cast("double").alias("x"))
-    one = evaluate.block_bootstrap(daily, "x", 10, 200).first()
-    assert one == evaluate.block_bootstrap(daily, "x", 10, 200).first() and one["low"] < one["mean"] < one["high"] and one["dates"] == 100
-    assert evaluate.block_bootstrap(daily.limit(3), "x", 10, 20).first()["low"] == pytest.approx(3.6667, abs=2)
+    one = evaluate.block_bootstrap(daily, "x", (10,), 200).first()
+    assert one == evaluate.block_bootstrap(daily, "x", (10,), 200).first() and one["low"] < one["mean"] < one["high"] and one["dates"] == 100
+    assert evaluate.block_bootstrap(daily.limit(3), "x", (10,), 20).first()["low"] == pytest.approx(3.6667, abs=2)
+
+
+def test_pinned_files_of_splits(spark, tmp_path):
+    for k, name in enumerate(("train", "val", "test", "other")):
+        spark.range(k, 3).coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    files = {x: str(next((tmp_path / x).glob("*.parquet"))) for x in ("train", "val", "test")}
+    pins = {x: hashlib.sha256(open(f, "rb").read()).hexdigest() for x, f in files.items()}
+    got = {r["file_split"]: r["count"] for r in tables.split_scan(spark, files, pins).groupBy("file_split").count().collect()}
+    assert got == {"train": 3, "val": 2, "test": 1}
+    with pytest.raises(ValueError, match="val"):
+        tables.split_scan(spark, files, pins | {"val": "0" * 64})
+
+
+def test_wall_time_stays_whatever_the_zone(spark):
+    told = ["2024-01-02T23:00:00-05:00", "2024-01-02 23:00:00Z", "2024-01-02T23:00:00+0930", "2024-01-02T23:00:00.5", "2024-01-02", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in told], "t string").select(wall_clock(F.col("t"))).collect()]
+    late = datetime.datetime(2024, 1, 2, 23)
+    assert got == [late, late, late, late.replace(microsecond=500_000), datetime.datetime(2024, 1, 2), None]
 
 
 def test_splits(spark):
