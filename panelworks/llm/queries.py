@@ -13,10 +13,15 @@ from .common import read
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: The key of the registered query and of the pipeline; a deployment passes its own.
+#: The key of the registered query and of the pipeline where the session sets none.
 KEY = "panelworks-demonstration-key"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of pseudonyms: the session's ``spark.panelworks.pii.key``, or one for demonstration."""
+    return spark.conf.get("spark.panelworks.pii.key", KEY)
+
+
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -26,7 +31,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms(read(spark, sf_dir, "documents"), KEY)
+    return pii.pseudonyms(read(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
