@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelworks.llm import decontaminate, packing, pii, similar, toxicity
 from panelworks.llm.common import read, shared_dir
-from panelworks.llm.queries import KEY
+from panelworks.llm.queries import pii_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +27,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms of their format."""
-    return pii.pseudonymise(docs, KEY)
+    """Personal values become pseudonyms of their format, under the session's key."""
+    return pii.pseudonymise(docs, pii_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
