@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import sys
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import remove
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -25,12 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_runs: dict[str, str] = {}
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder under the shared one, for what it writes in between; it goes when the process ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _runs:
+        _runs[app] = f"{shared_dir(spark)}/panelworks/{app}-{uuid.uuid4().hex}"
+        atexit.register(_clear, spark, _runs[app])
+    return _runs[app]
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception as gone:  # a session that is closed already leaves its folder to whoever keeps the shared one
+        print(f"left behind: {path} ({gone.__class__.__name__})", file=sys.stderr)
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelworks/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._panelworks_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that nothing reads any more."""
+    for df in tables:
+        remove(df.sparkSession, df._panelworks_path)
 
 
 def partitions(spark: SparkSession) -> int:

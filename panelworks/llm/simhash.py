@@ -8,7 +8,7 @@ that segment: an equality join on variants finds every such pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -17,34 +17,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget, table
 
 SEED = 42
 BLOCK = 1 << 17
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: bytes | None, size: int = 3) -> int:
-    """The 64-bit fingerprint of a UTF-8 text; null and wordless texts have 0."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
+def hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles of words, repeats included, some at a time; of fewer words than size, one of all of them."""
     size = min(size, len(words))
-    total, counts = len(words) - size + 1, np.zeros((8, 256), dtype=np.int64)
-    for at in range(0, total, BLOCK):
+    for at in range(0, len(words) - size + 1 if words else 0, BLOCK):
         part = words[at : at + BLOCK + size - 1]
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate(([0], ends[: len(part) - size])).tolist()
         joined = b" ".join(part)
         shingles = [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
-        octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if it is set in over half of all hashes."""
+    total, counts = 0, np.zeros((8, 256), dtype=np.int64)
+    for part in parts:
+        octets = part.astype("<u8").view(np.uint8).reshape(-1, 8)
+        total += len(part)
         for k in range(8):
             counts[k] += np.bincount(octets[:, k], minlength=256)
     ones = (counts @ _BITS).reshape(64)
     return int.from_bytes(np.packbits(ones * 2 > total, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes | None, size: int = 3) -> int:
+    """The 64-bit fingerprint of a UTF-8 text; null and wordless texts have 0."""
+    return majority(hashes((text or b"").lower().split(), size))
+
+
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     """``doc_id, fp``: the fingerprint of each whole text as a signed long."""
 
@@ -82,10 +90,10 @@ def _variants(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """``a, b``: pairs of distinct fingerprints within two bits.
 
-    Every pair from buckets of up to DENSE members is there.  Of a larger
-    bucket, members are linked to the least of each finer variant group (at most
-    four distinct fingerprints, all within two bits of one another), so that the
-    number of rows stays proportional to its members and no component is cut.
+    Buckets of up to DENSE members are compared pair by pair.  A larger one goes
+    through finer variant groups, each of at most four distinct fingerprints, all
+    within two bits of one another, so that its rows stay proportional to its
+    members; every pair is in one of them.
     """
     rows = _variants(fps)
     big = rows.groupBy("key").count().where(F.col("count") > DENSE).select("key")
@@ -102,7 +110,9 @@ def links(fps: DataFrame) -> DataFrame:
         .selectExpr("fp", "key", "wild", "CASE WHEN shiftright(key, 32) < 33 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295 END AS other")
         .withColumn("mask", F.explode(F.when(F.col("wild") == 32, F.array(*map(F.lit, masks[True]))).otherwise(F.array(*map(F.lit, masks[False])))))
         .groupBy("key", "mask", F.expr("other & ~mask").alias("rest"))
-        .agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
+        .agg(F.collect_set("fp").alias("all"))
+        .where("size(all) > 1")
+        .select(F.explode("all").alias("a"), "all")
         .select("a", F.explode("all").alias("b"))
         .where("a < b")
     )
@@ -123,9 +133,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = table(least, "labels")
         jump = labels.selectExpr("node AS next", "root AS far")
         after = table(least.join(jump, "next").selectExpr("node", "least(next, far) AS root", "was"), "labels")
+        forget(least, labels)
         if after.where("root <> was").isEmpty():
+            forget(both)
             return after.select("node", "root")
-        labels = after.select("node", "root")
+        labels = after
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -134,28 +146,32 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     Null, empty and wordless texts have fingerprint 0 and are linked like any
     other; repeated rows stay repeated; null ids never name a component (it is
     null if it has no other); an empty table gives no rows; other columns are
-    ignored.  ``links`` counts the other distinct fingerprints found within two
-    bits (of a dense bucket, the links that were kept).
+    ignored.  ``links`` counts the other distinct fingerprints within two bits.
+    Very long texts are read whole.
     """
     each = table(fingerprints(docs, size), "fingerprints")
     known = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = table(links(known.select("fp")), "links")
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    known = known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    known = table(known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    # small sides as tables of their own: adaptive plans split a hot key only between two plain shuffles
+    least = table(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     found = known.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return each.join(found, "fp").select("doc_id", "fp", "component_id", "links")
+    return each.join(table(found, "found"), "fp").select("doc_id", "fp", "component_id", "links")
 
 
-def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The rows of docs whose id is the least of its group; of rows that repeat an id, one.
+def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """The row of docs with the least id of each group of near duplicates; of rows of the group that repeat that id, one.
 
-    Rows with a null id are kept.  All columns of docs are returned.
+    Fingerprints within two bits propose pairs, and so do further keys for the
+    similar texts that two bits don't reach; a pair links if the sets of all its
+    word shingles have at least that similarity (``similar``).  Each row counts
+    by its own text, whatever other rows have its id.  Null, empty and wordless
+    texts are one group; very long ones are read whole.  Rows with a null id are
+    kept, and lead no group; an empty table gives no rows.  All columns of docs
+    are returned.
     """
-    ids = near_duplicates(docs, size).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    ids = ids.select(F.col("doc_id").alias("_pw_id"), F.col("n").alias("_pw_n"))
-    kept = docs.join(ids, docs["doc_id"] == ids["_pw_id"])
-    once = kept.where("_pw_n = 1").select(*docs.columns)
-    many = kept.where("_pw_n > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(many).unionByName(docs.where("doc_id IS NULL"))
+    from . import similar
+
+    return similar.keep_one(docs, size, least)

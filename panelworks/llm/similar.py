@@ -1,17 +1,18 @@
-"""Near duplicates by the Jaccard similarity of word shingles.
-
-A text is the set of its shingles' XXH64 hashes.  Minimum hashes of the set, in
-BANDS keys of DEPTH minima each, propose pairs: texts of similarity s share a
-key with probability ``1 - (1 - s ** DEPTH) ** BANDS``, which at 0.8 leaves out
-three pairs in a million.  Every proposed pair is verified with the whole sets
-before it links.
+"""Near duplicates by the Jaccard similarity of word shingles, as the SimHash operator verifies them.
+
+A text is the set of its shingles' XXH64 hashes.  Pairs are proposed by the
+deletion variants of the texts' fingerprints, which reach two bits, and, since
+sets of similarity 0.8 differ in about ten bits, by minimum hashes, in keys of
+some minima each: texts of similarity s share one of n keys of d minima with
+probability ``1 - (1 - s ** d) ** n``, which at 0.8 leaves out three pairs in a
+million.  Every proposed pair is verified with the whole sets before it links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,44 +20,44 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .simhash import components
+from .common import forget, table
+from .simhash import components, hashes, links, majority
 
 SEED = 42
 #: Words of a shingle, and the least similarity of near duplicates.
 SIZE, LEAST = 5, 0.8
-#: Minima of a key, and keys of a text.
-DEPTH, BANDS = 4, 24
-#: Of a key with more texts than DENSE not all pairs are verified, but each text against PIVOTS texts of the key.
+#: Minima of a first key, and of a second one.
+DEPTHS = (4, 8)
+#: Pairs of just that similarity that share no key.
+MISSED = 3e-6
+#: Of a first key with more texts than DENSE each text is compared with PIVOTS texts of the key; second keys do the rest.
 DENSE, PIVOTS = 16, 3
 #: Shingles whose hashes are permuted at once.
 BLOCK = 1 << 12
 
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 63, size=(2, DEPTH * BANDS, 1), dtype=np.uint64)
-_FLIP, _FACTOR = _RANDOM[0] * np.uint64(2), _RANDOM[1] * np.uint64(2) + np.uint64(1)
+
+@lru_cache(8)
+def permutations(depth: int, least: float = LEAST) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of keys, and what permutes hashes for their minima."""
+    bands = math.ceil(math.log(MISSED) / math.log(1 - least**depth)) if least < 1 else 1
+    found = np.random.default_rng((SEED, depth)).integers(0, 1 << 63, size=(2, depth * bands, 1), dtype=np.uint64)
+    return bands, found[0] * np.uint64(2), found[1] * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
     """The distinct hashes of a UTF-8 text's shingles in order; of fewer words than size, one of all of them."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    size = min(size, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[: len(words) - size])).tolist()
-    joined = b" ".join(words)
-    parts = [joined[a:b] for a, b in zip(starts, (ends[size - 1 :] - 1).tolist())]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(parts)))
-
-
-def keys(own: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set; an empty set has none."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes((text or b"").lower().split(), size)]))
+
+
+def keys(own: np.ndarray, depth: int = DEPTHS[0], similar: float = LEAST) -> np.ndarray:
+    """The keys of a set; an empty set has none."""
     if not len(own):
         return np.empty(0, np.int64)
-    least = np.full(DEPTH * BANDS, np.iinfo(np.uint64).max)
+    bands, flip, factor = permutations(depth, similar)
+    least = np.full(depth * bands, np.iinfo(np.uint64).max)
     for at in range(0, len(own), BLOCK):
-        least = np.minimum(least, ((own[at : at + BLOCK] ^ _FLIP) * _FACTOR).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
+        least = np.minimum(least, ((own[at : at + BLOCK] ^ flip) * factor).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), depth << 32 | k) for k, x in enumerate(least.reshape(bands, depth))], np.uint64).view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -66,46 +67,75 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def sketches(rows: DataFrame) -> DataFrame:
-    """``row, whole, keys`` of ``row, text``: a hash of the set of shingles, and its keys."""
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
+
+
+def sketches(rows: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
+    """``row, whole, fp, keys`` of ``row, text``: a hash of the set of shingles, their fingerprint, and the first keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes, found = [], []
+            wholes, fps, found = [], [], []
             for x in batch.column(1).cast(pa.binary()):
-                own = shingles(x.as_py())
+                parts = list(hashes((x.as_py() or b"").lower().split(), size))
+                own = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
                 wholes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                found.append(keys(own))
-            whole = pa.array(np.array(wholes, np.uint64).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int64)])))
-            yield pa.record_batch([batch.column(0), whole, lists], names=["row", "whole", "keys"])
+                fps.append(majority(parts))
+                found.append(keys(own, DEPTHS[0], least))
+            whole, fp = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (wholes, fps))
+            yield pa.record_batch([batch.column(0), whole, fp, _lists(found)], names=["row", "whole", "fp", "keys"])
 
-    return rows.mapInArrow(run, "row bigint, whole bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "row bigint, whole bigint, fp bigint, keys array<bigint>")
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """``a, b``: pairs of distinct sets of ``whole, keys`` that share a key.
+def _pairs(near: DataFrame) -> DataFrame:
+    return near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
-    All pairs of keys with up to DENSE sets are there; of others, each set with
-    PIVOTS sets that a hash of set and key picks, so that the rows stay in
-    proportion to the members.
-    """
-    rows = sets.select("whole", F.explode("keys").alias("key"))
-    many = table(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    shared = table(rows.join(many, "key"), "shared")
+
+def close(sets: DataFrame) -> DataFrame:
+    """``a, b``: of ``whole, fp``, a set for each fingerprint with the others of it, and with one of each within two bits."""
+    firsts = table(sets.groupBy("fp").agg(F.min("whole").alias("a")), "firsts")
+    same = sets.join(firsts, "fp").selectExpr("a", "whole AS b")
+    near = links(firsts.select("fp")).join(firsts.selectExpr("fp AS a", "a AS x"), "a").join(firsts.selectExpr("fp AS b", "a AS y"), "b")
+    return _pairs(same.unionByName(near.selectExpr("x AS a", "y AS b")))
+
+
+def candidates(shared: DataFrame) -> DataFrame:
+    """``a, b``: of ``key, whole, n``, all pairs of keys with up to DENSE sets; of others, each set with PIVOTS sets that a hash of set and key picks."""
     small = shared.where(F.col("n") <= DENSE).select("key", "whole")
     near = small.withColumnRenamed("whole", "a").join(small.withColumnRenamed("whole", "b"), "key").where("a < b").select("a", "b")
     big = shared.where(F.col("n") > DENSE).select("key", "whole", F.explode(F.sequence(F.lit(1), F.lit(PIVOTS))).alias("k"))
     pivots = big.groupBy("key", "k").agg(F.min(F.struct(F.xxhash64("whole", "key", "k").alias("h"), F.col("whole").alias("b"))).alias("m")).select("key", "k", "m.b")
-    far = big.join(pivots, ["key", "k"]).where("whole <> b").select(F.least("whole", "b").alias("a"), F.greatest("whole", "b").alias("b"))
-    return near.unionByName(far).distinct()
+    return near.unionByName(_pairs(big.join(pivots, ["key", "k"]).selectExpr("whole AS a", "b")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
+    """``a, b``: of ``whole, text``, the pairs of a second key that no group of ``node, root`` connects yet.
+
+    The sets of a key's largest group need no comparison with one another, so
+    each set outside it meets the sets of other groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [keys(shingles(x.as_py(), size), DEPTHS[1], least) for x in batch.column(1).cast(pa.binary())]
+            yield pa.record_batch([batch.column(0), _lists(found)], names=["whole", "keys"])
+
+    each = texts.mapInArrow(run, "whole bigint, keys array<bigint>").select("whole", F.explode("keys").alias("key"))
+    each = each.join(roots.withColumnRenamed("node", "whole"), "whole", "left").select("key", "whole", F.coalesce("root", "whole").alias("root"))
+    each = table(each, "second")
+    groups = each.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    several = each.join(groups.select("key", "most"), "key")
+    outside = several.where("root <> most").selectExpr("key", "whole AS a", "root AS r")
+    return _pairs(outside.join(several.selectExpr("key", "whole AS b", "root", "most"), "key").where("r <> root AND (root = most OR a < b)").select("a", "b"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
     """``a, b``: the pairs whose sets, made from ``whole, text``, have at least that similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = lru_cache(64)(shingles)
+        own = lru_cache(64)(lambda text: shingles(text, size))
         for batch in batches:
             x, y = (batch.column(k).cast(pa.binary()) for k in (2, 3))
             good = [similarity(own(s.as_py()), own(t.as_py())) >= least for s, t in zip(x, y)]
@@ -115,26 +145,41 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The row of docs with the least id of each group of near duplicates; of rows of the group that repeat that id, one.
-
-    Groups are connected by pairs of at least that similarity.  Each row counts
-    by its own text, whatever other rows have its id.  Texts without words are
-    one group.  Rows with a null id are kept, and lead no group.  All columns of
-    docs are returned.
-    """
+def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
+    """simhash.keep_one()."""
     rows = table(docs.withColumn("_pw_row", F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col("_pw_row").alias("row"), F.col("text").cast("string").alias("text"))
-    each = table(sketches(texts), "sketches")
-    pairs = table(candidates(each.select("whole", "keys").dropDuplicates(["whole"])), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
-    # one row stands for all of a set, so the join of texts meets each row once
-    chosen = each.groupBy("whole").agg(F.min("row").alias("row")).join(asked, "whole", "left_semi")
-    edges = table(verified(pairs, table(texts.join(chosen, "row").select("whole", "text"), "texts")), "links")
-    roots = components(edges).selectExpr("node AS whole", "root")
-    known = table(rows.select(F.col("_pw_row").alias("row"), F.col("doc_id").alias("id")).where("id IS NOT NULL").join(each.select("row", "whole"), "row"), "ids")
-    firsts = known.groupBy("whole").agg(F.min(F.struct("id", "row")).alias("first"))
+    each = table(sketches(texts, size, least), "sketches")
+    sets = table(each.groupBy("whole").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    known = sets.select("whole", F.explode("keys").alias("key"))
+    many = table(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    shared = table(known.join(many, "key"), "shared")
+
+    def texts_of(wholes: DataFrame) -> DataFrame:
+        """``whole, text``: one row stands for all of a set, so the join of texts meets each row once."""
+        return table(texts.join(sets.select("whole", "row").join(wholes.distinct(), "whole", "left_semi"), "row").select("whole", "text"), "texts")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = table(pairs.distinct(), "pairs")
+        own = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("whole")))
+        out = table(verified(pairs, own, size, least), "links")
+        forget(pairs, own)
+        return out
+
+    edges = linked(candidates(shared).unionByName(close(sets)))
+    roots = components(edges)
+    dense = shared.where(F.col("n") > DENSE).select("whole")
+    if not dense.isEmpty():
+        own = texts_of(dense)
+        more = linked(further(own, roots, size, least))
+        forget(own)
+        if not more.isEmpty():
+            roots = components(edges.unionByName(more))
+    forget(many, shared, sets)
+    roots = roots.selectExpr("node AS whole", "root")
+    ids = table(rows.select(F.col("_pw_row").alias("row"), F.col("doc_id").alias("id")).where("id IS NOT NULL").join(each.select("row", "whole"), "row"), "ids")
+    firsts = ids.groupBy("whole").agg(F.min(F.struct("id", "row")).alias("first"))
     firsts = firsts.join(roots, "whole", "left").groupBy(F.coalesce("root", "whole")).agg(F.min("first").alias("first"))
     kept = firsts.select(F.col("first.row").alias("_pw_kept"))
-    led = rows.join(kept, rows["_pw_row"] == kept["_pw_kept"])
+    led = rows.join(kept, rows["_pw_row"] == kept["_pw_kept"], "left_semi")
     return led.select(*docs.columns).unionByName(rows.where("doc_id IS NULL").select(*docs.columns))

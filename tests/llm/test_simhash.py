@@ -4,7 +4,10 @@ import re
 import xxhash
 from conftest_llm import ODD
 
+from pyspark.sql import functions as F
+
 from panelworks.llm import simhash
+from panelworks.llm.common import table
 
 
 def plain(text):
@@ -66,7 +69,27 @@ def test_odd_rows(docs):
     assert simhash.near_duplicates(docs(*ODD).limit(0)).count() == 0
 
 
-def test_one_of_each_group_stays(docs):
-    df = docs(*ODD)
-    kept = simhash.keep_one(df)
-    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 6] and kept.columns == df.columns
+def test_links_are_counted_alike_in_dense_buckets(spark, docs, monkeypatch):
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    fps = sorted({signed(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 2)))) for _ in range(60)})
+    want = {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) % (1 << 64)).count("1") <= 2}
+    rows = spark.createDataFrame([(x,) for x in fps], "fp bigint")
+    for dense in (256, 4):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        assert {(r["a"], r["b"]) for r in simhash.links(rows).collect()} == want
+
+
+def test_joins_on_a_hot_fingerprint_are_split(spark):
+    """The adaptive plan deals a key's rows out over several tasks; no setting of ours may turn that off."""
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(keep, ("20KB", "10KB", "-1", "40")):
+            spark.conf.set(k, v)
+        each = table(spark.range(200_000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS fp"), "each")
+        out = each.join(table(each.select("fp").distinct().withColumn("component_id", F.col("fp")), "found"), "fp")
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)

@@ -1,8 +1,8 @@
 import random
 
-import corpus_pipeline
+import numpy as np
 
-from panelworks.llm import similar
+from panelworks.llm import similar, simhash
 
 
 def jaccard(a, b):
@@ -33,14 +33,47 @@ def test_stage_drops_near_copies_and_keeps_others(docs, monkeypatch):
         want |= set(root.values())
     assert 30 < len(want) < 120
     df = docs(*texts)
-    got = corpus_pipeline.drop_copies(df.sparkSession, df, "")
+    got = simhash.keep_one(df)
     assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == want
     monkeypatch.setattr(similar, "DENSE", 2)  # through pivots
-    assert {r["doc_id"] for r in similar.keep_one(df).collect()} == want
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == want
 
 
 def test_rows_of_one_id_count_by_their_own_text(docs):
     a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
     df = docs((1, a), (2, b), (2, a), (3, c), (3, b), (3, c), (None, a))
-    got = sorted((r["doc_id"] or 0, r["text"]) for r in similar.keep_one(df).collect())
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(df).collect())
     assert got == [(0, a), (1, a), (2, b), (3, c)]
+
+
+def test_second_keys_find_what_pivots_of_a_crowded_key_leave(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    # many texts that share half of their words, and among them pairs of near copies
+    texts = [" ".join(base[:110] + [f"x{rng.randrange(10**6)}" for _ in range(90)]) for _ in range(60)]
+    texts += [" ".join(near(t.split(), rng, 2)) for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "whole bigint, text string")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    found = {(r["a"], r["b"]) for r in similar.verified(similar.further(rows, roots).distinct(), rows).collect()}
+    assert found == {(k, k + 60) for k in range(20)} == {(i, j) for i in range(80) for j in range(i + 1, 80) if jaccard(texts[i], texts[j]) >= 0.8}
+    linked = spark.createDataFrame([(k, 0) for k in range(60)], "node bigint, root bigint")  # one group holds most of each key
+    assert {tuple(sorted((r["a"], r["b"]))) for r in similar.further(rows, linked).distinct().collect()} >= found
+
+
+def test_keys_miss_few_pairs_of_the_least_similarity():
+    rng = np.random.default_rng(1)
+    for depth in similar.DEPTHS:
+        bands, flip, _ = similar.permutations(depth)
+        assert len(flip) == depth * bands and (1 - 0.8**depth) ** bands <= similar.MISSED
+        for _ in range(20):
+            both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (80, 10, 10))
+            x, y = (np.unique(np.concatenate([both, own])) for own in (a, b))
+            assert set(similar.keys(x, depth)) & set(similar.keys(y, depth))
+
+
+def test_odd_rows(docs):
+    from conftest_llm import ODD
+
+    got = simhash.keep_one(docs(*ODD, (7, " "), (9, "one two")))
+    assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4, 6, 9] and got.columns == docs(*ODD).columns
+    assert simhash.keep_one(docs(*ODD).limit(0)).count() == 0
