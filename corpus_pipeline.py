@@ -2,37 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from panelworks.llm import decontaminate, packing, pii, similar, toxicity
-from panelworks.llm.common import read, shared_dir
+from panelworks.llm import decontaminate, packing, pii, simhash, toxicity
+from panelworks.llm.common import forget, read, table
 from panelworks.llm.queries import pii_key
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go; null and empty texts score like any other, rows that repeat go or stay alike."""
     return toxicity.clean(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least id stays."""
-    return similar.keep_one(docs)
+    """Of each group of near duplicates (five-word Jaccard similarity of 0.8 or more) the document with the least id stays; null ids stay."""
+    return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms of their format, under the session's key."""
+    """Personal values become pseudonyms of their format, under the session's key; null and empty texts stay as they are."""
     return pii.pseudonymise(docs, pii_key(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents, null and empty texts and repeated rows too, with their places in sequences."""
     return packing.pack(docs)
 
 
@@ -49,12 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    docs, base = read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/panelworks/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again, and goes once the next one's is there."""
+    docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        out.write.option("compression", "zstd").parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        out = table(out, f"stage-{k}-{name}")
+        if k:
+            forget(docs)
+        docs = out
     return docs
