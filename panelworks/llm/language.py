@@ -73,8 +73,9 @@ class Model:
         return (total - total.max()).tolist()
 
 
-def train(docs: DataFrame, rows: int = ROWS) -> Model:
-    """The text model, from whole texts of about ``rows`` documents of each language, or all it has."""
+def train(docs: DataFrame, rows: int = ROWS, most: int | None = None) -> Model:
+    """The text model, from whole texts of about ``rows`` documents of each language, or all it has, and its ``most`` frequent n-grams."""
+    most = most or GRAMS
     own = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select(F.lower(F.col("lang").cast("string")).alias("lang"), "doc_id", F.col("text").cast("string").alias("text"))
     sizes = own.groupBy("lang").agg(F.count("*").alias("size"))
     # a bound for the hash, not a rank: no language is gathered in one task
@@ -98,11 +99,11 @@ def train(docs: DataFrame, rows: int = ROWS) -> Model:
     languages = sorted(known["lang"])
     if not languages:
         return Model(["und"], {}, 0.0)
-    # the least count of each language that at most GRAMS of its n-grams reach
+    # the least count of each language that at most ``most`` of its n-grams reach
     least: dict[str, int] = {}
     for lang, found in counts.groupBy("lang", "n").agg(F.count("*").alias("grams")).toPandas().groupby("lang"):
         found = found.sort_values("n", ascending=False)
-        fits = found["n"][found["grams"].cumsum() <= GRAMS]
+        fits = found["n"][found["grams"].cumsum() <= most]
         least[lang] = int(fits.min() if len(fits) else found["n"].max())
     bounds = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, least bigint")
     chosen = counts.join(F.broadcast(bounds), "lang").where("n >= least").select("gram").distinct()
@@ -159,7 +160,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     ``score`` is the posterior of ``lang``, ties going to the first language by
     name.  Null and empty pages have no text evidence; pages without a host
     share one; without labelled documents the language is ``und``; rows of one
-    id are pages of their own; an empty table gives no rows; other columns are
+    id are pages of their own; very long pages are read whole; an empty table gives no rows; other columns are
     ignored.
     """
     model = train(docs)
@@ -180,7 +181,8 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         cases = [F.when(F.col(column) == k, F.array(*(F.lit(float(x)) for x in v))) for k, v in logs.items()]
         return F.coalesce(*cases, F.array(*[F.lit(0.0)] * n))
 
-    joined = each.join(hosts, "host").join(F.broadcast(suffixes) if suffixes.count() <= 10_000 else suffixes, "suffix")
+    # sums as tables of their own: adaptive plans split a hot host or suffix only between two plain shuffles
+    joined = each.join(table(hosts, "hosts"), "host").join(table(suffixes, "suffixes"), "suffix")
     less = lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
 
     def smoothed(counts: Column, prior: Column, weight: float) -> Column:

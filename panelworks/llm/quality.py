@@ -163,14 +163,17 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents that aren't held out; only their statistics come to the driver."""
+    """Fit on at most ``rows`` labelled documents that aren't held out; only their statistics come to the driver.
+
+    Of an id's labels the least counts, and of its rows the least text.
+    """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), F.col("quality").cast("int").alias("_pw_y")).dropDuplicates(["_pw_id"])
+    chosen = chosen.select(F.col("doc_id").alias("_pw_id"), F.col("quality").cast("int").alias("_pw_y")).groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"))
     chosen = chosen.orderBy(F.xxhash64("_pw_id"), "_pw_id").limit(rows)
-    own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_pw_id"))  # at most ``rows`` ids
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = own.select("doc_id", "_pw_y", *(c.alias(k) for k, c in statistics(text).items())).toPandas()
-    found = found.sort_values(list(found.columns), kind="stable").drop_duplicates("doc_id")
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_pw_id"))  # at most ``rows`` ids
+    # one text an id, however often it is there
+    own = own.groupBy("doc_id").agg(F.min("_pw_y").alias("_pw_y"), F.min("text").alias("text"))
+    found = own.select("doc_id", "_pw_y", *(c.alias(k) for k, c in statistics(F.col("text")).items())).toPandas().sort_values("doc_id")
     return fit({k: found[k].to_numpy(dtype=float) for k in found.columns[2:]}, found["_pw_y"].to_numpy(dtype=float))
 
 
@@ -180,6 +183,7 @@ def quality(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame
     Labels of the held-out fifth are never read.  Without labels of both kinds
     all texts score alike; null and empty texts score as texts without words;
     rows with null ids are scored and not held out; repeated rows score alike;
+    very long texts are read whole; scores that tie with limit are predicted 1;
     an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, labels)

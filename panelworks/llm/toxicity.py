@@ -139,11 +139,13 @@ def swaps(words: set[str]) -> list[tuple[str, str]]:
     return [(word, other) for word in sorted(words & _GROUP.keys()) for other in _GROUP[word] if other not in words]
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = FEATURES, least: int | None = None, common: float = COMMON) -> Model:
     """Fit on at most ``rows`` labelled documents that aren't held out.
 
-    Features are counted where the documents are; the driver gets the best
-    FEATURES of them, and which of those each document has.
+    Features are counted where the documents are; the driver gets the ``most``
+    telling of those that ``least`` labelled texts and no larger share than
+    ``common`` have, and which of them each document has.  An id that is labelled
+    twice is toxic only if both say so, and of its rows the least text counts.
     """
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = chosen.select(F.col("doc_id").alias("_pw_id"), (F.col("toxic") > 0).cast("int").alias("_pw_y")).groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"))
@@ -155,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
             words = [" ".join(sorted(distinct_words(x.as_py()))) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(words, pa.string())], names=["y", "words"])
 
-    texts = table(texts.dropDuplicates(["doc_id"]).select("_pw_y", "text").mapInArrow(split, "y int, words string"), "labelled")
+    texts = texts.groupBy("_pw_id").agg(F.min("_pw_y").alias("_pw_y"), F.min("text").alias("text"))
+    texts = table(texts.select("_pw_y", "text").mapInArrow(split, "y int, words string"), "labelled")
     total, positive = texts.agg(F.count("*"), F.sum("y")).first()
     if not total or positive in (0, total):
         return Model(float(4 * (2 * positive / total - 1)) if total else -4.0, {})
@@ -163,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
 
-        def full(least: int) -> Iterator[pa.RecordBatch]:
+        def full(size: int) -> Iterator[pa.RecordBatch]:
             """Counts so far; those of one feature are summed later, so that memory stays bounded."""
             for y, own in enumerate(seen):
-                if len(own) > least:
+                if len(own) > size:
                     counts = np.fromiter(own.values(), np.int64, len(own))
                     yield pa.record_batch([pa.array(list(own), pa.string()), pa.array(counts), pa.array(counts * y)], names=["feature", "n", "n1"])
                     own.clear()
@@ -179,12 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Model:
                 yield from full(100_000)
         yield from full(0)
 
-    base, least = positive / total, max(2, total // LEAST)
+    base, least = positive / total, max(2, total // LEAST) if least is None else least
     counts = texts.mapInArrow(count, "feature string, n bigint, n1 bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
     z = F.abs(F.col("n1") - F.col("n") * base) / F.sqrt(F.col("n") * base * (1 - base))
     named = F.col("feature").isin(list(_GROUP))
-    best = counts.where((F.col("n") >= least) & (named | (F.col("n") <= COMMON * total))).orderBy(F.desc(named), F.desc(z), "feature").limit(FEATURES)
-    names = sorted(r["feature"] for r in best.select("feature").collect())  # at most FEATURES
+    best = counts.where((F.col("n") >= least) & (named | (F.col("n") <= common * total))).orderBy(F.desc(named), F.desc(z), "feature").limit(most)
+    names = sorted(r["feature"] for r in best.select("feature").collect())  # at most ``most``
     shared = docs.sparkSession.sparkContext.broadcast({x: k for k, x in enumerate(names)})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +234,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """The rows of docs that score below limit, with all their columns."""
+    """The rows of docs that score below limit, with all their columns; null and empty texts score as without words, very long ones whole."""
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +251,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFram
 
     Labels of the held-out fifth are never read.  Without labels of both kinds
     all texts score alike; rows with null ids are scored and not held out;
-    repeated rows score alike; an empty table gives no rows; other columns are
+    repeated rows score alike; very long texts are read whole; scores that tie
+    with limit are predicted 1; an empty table gives no rows; other columns are
     ignored.
     """
     out = scores(docs, train(docs, labels))
