@@ -5,7 +5,7 @@ deletion variants of the texts' fingerprints, which reach two bits, and, since
 sets of similarity 0.8 differ in about ten bits, by minimum hashes, in keys of
 some minima each: texts of similarity s share one of n keys of d minima with
 probability ``1 - (1 - s ** d) ** n``, which at 0.8 leaves out three pairs in a
-million.  Every proposed pair is verified with the whole sets before it links.
+million, and the bits of their minima as many again.  Every proposed pair is verified with the whole sets before it links.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ SEED = 42
 SIZE, LEAST = 5, 0.8
 #: Minima of a first key, and of a second one.
 DEPTHS = (4, 8)
-#: Pairs of just that similarity that share no key.
+#: Pairs of just that similarity that share no key, and that differ in more bits than are compared further.
 MISSED = 3e-6
 #: Of a first key with more texts than DENSE each text is compared with PIVOTS texts of the key; second keys do the rest.
 DENSE, PIVOTS = 16, 3
@@ -44,20 +44,41 @@ def permutations(depth: int, least: float = LEAST) -> tuple[int, np.ndarray, np.
     return bands, found[0] * np.uint64(2), found[1] * np.uint64(2) + np.uint64(1)
 
 
+@lru_cache(8)
+def differing(size: int, least: float = LEAST) -> int:
+    """The most of so many bits, one a minimum, in which sets of that similarity differ, but for a share of MISSED."""
+    odds, total, k = (1 - least) / 2, 0.0, -1
+    while total < 1 - MISSED and k < size:
+        k += 1
+        total += math.comb(size, k) * odds**k * (1 - odds) ** (size - k)
+    return k
+
+
 def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
     """The distinct hashes of a UTF-8 text's shingles in order; of fewer words than size, one of all of them."""
     return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes((text or b"").lower().split(), size)]))
 
 
-def keys(own: np.ndarray, depth: int = DEPTHS[0], similar: float = LEAST) -> np.ndarray:
-    """The keys of a set; an empty set has none."""
+def minima(own: np.ndarray, depth: int = DEPTHS[0], similar: float = LEAST) -> np.ndarray:
+    """The least of a set's hashes by each permutation, in a row a key; an empty set has none."""
     if not len(own):
-        return np.empty(0, np.int64)
+        return np.empty((0, depth), np.uint64)
     bands, flip, factor = permutations(depth, similar)
     least = np.full(depth * bands, np.iinfo(np.uint64).max)
     for at in range(0, len(own), BLOCK):
         least = np.minimum(least, ((own[at : at + BLOCK] ^ flip) * factor).min(axis=1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), depth << 32 | k) for k, x in enumerate(least.reshape(bands, depth))], np.uint64).view(np.int64)
+    return least.reshape(bands, depth)
+
+
+def keys(least: np.ndarray) -> np.ndarray:
+    """A key for each row of minima."""
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), least.shape[1] << 32 | k) for k, x in enumerate(least)], np.uint64).view(np.int64)
+
+
+def bits(least: np.ndarray) -> np.ndarray:
+    """One bit of each minimum, 64 to a long: sets of similarity s agree in ``(1 + s) / 2`` of them."""
+    mixed = (least.reshape(-1) ^ (least.reshape(-1) >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
+    return np.packbits(np.pad(mixed.astype(np.uint8), (0, -len(mixed) % 64)), bitorder="little").view("<i8")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -82,7 +103,7 @@ def sketches(rows: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
                 own = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
                 wholes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 fps.append(majority(parts))
-                found.append(keys(own, DEPTHS[0], least))
+                found.append(keys(minima(own, DEPTHS[0], least)))
             whole, fp = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (wholes, fps))
             yield pa.record_batch([batch.column(0), whole, fp, _lists(found)], names=["row", "whole", "fp", "keys"])
 
@@ -114,21 +135,33 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
     """``a, b``: of ``whole, text``, the pairs of a second key that no group of ``node, root`` connects yet.
 
     The sets of a key's largest group need no comparison with one another, so
-    each set outside it meets the sets of other groups.
+    each set outside it meets the sets of other groups.  A pair is proposed if
+    its sizes allow the similarity, and if no more bits of all its minima differ
+    than similar sets have, but for MISSED of them: passages that many texts
+    share give keys, but not pairs.
     """
+    total = DEPTHS[1] * permutations(DEPTHS[1], least)[0]
+    marks = [f"s{k}" for k in range(-(-total // 64))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [keys(shingles(x.as_py(), size), DEPTHS[1], least) for x in batch.column(1).cast(pa.binary())]
-            yield pa.record_batch([batch.column(0), _lists(found)], names=["whole", "keys"])
-
-    each = texts.mapInArrow(run, "whole bigint, keys array<bigint>").select("whole", F.explode("keys").alias("key"))
-    each = each.join(roots.withColumnRenamed("node", "whole"), "whole", "left").select("key", "whole", F.coalesce("root", "whole").alias("root"))
+            sets = [shingles(x.as_py(), size) for x in batch.column(1).cast(pa.binary())]
+            lows = [minima(x, DEPTHS[1], least) for x in sets]
+            signs = np.array([bits(x) if len(x) else np.zeros(len(marks), np.int64) for x in lows], np.int64).reshape(-1, len(marks))
+            columns = [batch.column(0), pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), _lists(list(map(keys, lows))), *map(pa.array, signs.T.copy())]
+            yield pa.record_batch(columns, names=["whole", "n", "keys", *marks])
+
+    each = texts.mapInArrow(run, ", ".join(["whole bigint, n bigint, keys array<bigint>", *(f"{x} bigint" for x in marks)]))
+    each = each.join(roots.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     each = table(each, "second")
-    groups = each.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    several = each.join(groups.select("key", "most"), "key")
-    outside = several.where("root <> most").selectExpr("key", "whole AS a", "root AS r")
-    return _pairs(outside.join(several.selectExpr("key", "whole AS b", "root", "most"), "key").where("r <> root AND (root = most OR a < b)").select("a", "b"))
+    known = each.select(F.explode("keys").alias("key"), "root")
+    groups = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
+    # a table of its own: adaptive plans split a hot key only between two plain shuffles
+    several = table(each.select(F.explode("keys").alias("key"), "whole", "root", "n", *marks).join(groups.select("key", "most"), "key"), "several")
+    left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
+    apart = " + ".join(f"bit_count(a_{x} ^ {x})" for x in marks)
+    near = f"a_root <> root AND (root = most OR a_whole < whole) AND least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart} <= {differing(total, least)}"
+    return _pairs(left.join(several, "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -56,6 +57,8 @@ def test_second_keys_find_what_pivots_of_a_crowded_key_leave(spark):
     roots = spark.createDataFrame([], "node bigint, root bigint")
     found = {(r["a"], r["b"]) for r in similar.verified(similar.further(rows, roots).distinct(), rows).collect()}
     assert found == {(k, k + 60) for k in range(20)} == {(i, j) for i in range(80) for j in range(i + 1, 80) if jaccard(texts[i], texts[j]) >= 0.8}
+    proposed = similar.further(rows, roots).distinct().collect()
+    assert len(proposed) < 60  # of 1,900 that share a passage
     linked = spark.createDataFrame([(k, 0) for k in range(60)], "node bigint, root bigint")  # one group holds most of each key
     assert {tuple(sorted((r["a"], r["b"]))) for r in similar.further(rows, linked).distinct().collect()} >= found
 
@@ -68,7 +71,17 @@ def test_keys_miss_few_pairs_of_the_least_similarity():
         for _ in range(20):
             both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (80, 10, 10))
             x, y = (np.unique(np.concatenate([both, own])) for own in (a, b))
-            assert set(similar.keys(x, depth)) & set(similar.keys(y, depth))
+            lows = [similar.minima(own, depth) for own in (x, y)]
+            assert set(similar.keys(lows[0])) & set(similar.keys(lows[1]))
+            apart = sum(int(v).bit_count() for v in (similar.bits(lows[0]) ^ similar.bits(lows[1])).view(np.uint64))
+            assert apart <= similar.differing(depth * bands)
+
+
+def test_bits_leave_out_as_few_pairs():
+    for size, least in ((560, 0.8), (64, 0.5), (8, 1.0)):
+        most, odds = similar.differing(size, least), (1 - least) / 2
+        share = lambda k: sum(math.comb(size, j) * odds**j * (1 - odds) ** (size - j) for j in range(k + 1, size + 1))  # noqa: B023, E731
+        assert share(most) <= similar.MISSED * 1.001 and (most == 0 or share(most - 1) > similar.MISSED)
 
 
 def test_odd_rows(docs):
