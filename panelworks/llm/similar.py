@@ -32,6 +32,8 @@ DEPTHS = (4, 8)
 MISSED = 3e-6
 #: Of a first key with more texts than DENSE each text is compared with PIVOTS texts of the key; second keys do the rest.
 DENSE, PIVOTS = 16, 3
+#: Minima of which a bit is compared, and bits that stand for the shingles of a set.
+BITS, MAP = 256, 1024
 #: Shingles whose hashes are permuted at once.
 BLOCK = 1 << 12
 
@@ -54,6 +56,13 @@ def differing(size: int, least: float = LEAST) -> int:
     return k
 
 
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """A bit for each shingle of a set, some sharing one, 64 to a long: no more bits differ than shingles do."""
+    flags = np.zeros(MAP, np.uint8)
+    flags[own % np.uint64(MAP)] = 1
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
 def shingles(text: bytes | None, size: int = SIZE) -> np.ndarray:
     """The distinct hashes of a UTF-8 text's shingles in order; of fewer words than size, one of all of them."""
     return np.unique(np.concatenate([np.empty(0, np.uint64), *hashes((text or b"").lower().split(), size)]))
@@ -76,8 +85,9 @@ def keys(least: np.ndarray) -> np.ndarray:
 
 
 def bits(least: np.ndarray) -> np.ndarray:
-    """One bit of each minimum, 64 to a long: sets of similarity s agree in ``(1 + s) / 2`` of them."""
-    mixed = (least.reshape(-1) ^ (least.reshape(-1) >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
+    """One bit of each of the first minima, 64 to a long: sets of similarity s agree in ``(1 + s) / 2`` of them."""
+    low = least.reshape(-1)[:BITS]
+    mixed = (low ^ (low >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)
     return np.packbits(np.pad(mixed.astype(np.uint8), (0, -len(mixed) % 64)), bitorder="little").view("<i8")
 
 
@@ -136,18 +146,20 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
 
     The sets of a key's largest group need no comparison with one another, so
     each set outside it meets the sets of other groups.  A pair is proposed if
-    its sizes allow the similarity, and if no more bits of all its minima differ
-    than similar sets have, but for MISSED of them: passages that many texts
-    share give keys, but not pairs.
+    its sizes and bitmaps allow the similarity, which leaves out no similar pair,
+    and if no more bits of its minima differ than similar sets have, but for
+    MISSED of them: passages that many texts share give keys, but not pairs.
     """
-    total = DEPTHS[1] * permutations(DEPTHS[1], least)[0]
-    marks = [f"s{k}" for k in range(-(-total // 64))]
+    total = min(BITS, DEPTHS[1] * permutations(DEPTHS[1], least)[0])
+    lows_of, shingles_of = [f"s{k}" for k in range(-(-total // 64))], [f"m{k}" for k in range(MAP // 64)]
+    marks = lows_of + shingles_of
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py(), size) for x in batch.column(1).cast(pa.binary())]
             lows = [minima(x, DEPTHS[1], least) for x in sets]
-            signs = np.array([bits(x) if len(x) else np.zeros(len(marks), np.int64) for x in lows], np.int64).reshape(-1, len(marks))
+            signs = [np.concatenate([bits(x) if len(x) else np.zeros(len(lows_of), np.int64), bitmap(own)]) for x, own in zip(lows, sets)]
+            signs = np.array(signs, np.int64).reshape(-1, len(marks))
             columns = [batch.column(0), pa.array(np.fromiter(map(len, sets), np.int64, len(sets))), _lists(list(map(keys, lows))), *map(pa.array, signs.T.copy())]
             yield pa.record_batch(columns, names=["whole", "n", "keys", *marks])
 
@@ -159,8 +171,9 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
     # a table of its own: adaptive plans split a hot key only between two plain shuffles
     several = table(each.select(F.explode("keys").alias("key"), "whole", "root", "n", *marks).join(groups.select("key", "most"), "key"), "several")
     left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
-    apart = " + ".join(f"bit_count(a_{x} ^ {x})" for x in marks)
-    near = f"a_root <> root AND (root = most OR a_whole < whole) AND least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart} <= {differing(total, least)}"
+    apart = {names[0]: " + ".join(f"bit_count(a_{x} ^ {x})" for x in names) for names in (lows_of, shingles_of)}
+    sizes = f"least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart['m0']} <= {(1 - least) / (1 + least) + 1e-9!r} * (a_n + n)"
+    near = f"a_root <> root AND (root = most OR a_whole < whole) AND {sizes} AND {apart['s0']} <= {differing(total, least)}"
     return _pairs(left.join(several, "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
 
 

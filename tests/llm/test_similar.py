@@ -74,7 +74,9 @@ def test_keys_miss_few_pairs_of_the_least_similarity():
             lows = [similar.minima(own, depth) for own in (x, y)]
             assert set(similar.keys(lows[0])) & set(similar.keys(lows[1]))
             apart = sum(int(v).bit_count() for v in (similar.bits(lows[0]) ^ similar.bits(lows[1])).view(np.uint64))
-            assert apart <= similar.differing(depth * bands)
+            assert apart <= similar.differing(similar.BITS if depth * bands > similar.BITS else depth * bands)
+            apart = sum(int(v).bit_count() for v in (similar.bitmap(x) ^ similar.bitmap(y)).view(np.uint64))
+            assert apart <= len(np.setxor1d(x, y))
 
 
 def test_bits_leave_out_as_few_pairs():
