@@ -64,6 +64,15 @@ def forget(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._panelworks_path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df, for a join by shuffles alone.
+
+    Spark takes packed files, and rows that are yet to be exploded, for much
+    smaller than they are, and would gather them on the driver to broadcast them.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions that shuffles are set to have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

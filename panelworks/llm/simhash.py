@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, table
+from .common import forget, shuffled, table
 
 SEED = 42
 BLOCK = 1 << 17
@@ -97,16 +97,16 @@ def links(fps: DataFrame) -> DataFrame:
     """
     rows = _variants(fps)
     big = rows.groupBy("key").count().where(F.col("count") > DENSE).select("key")
-    small = rows.join(big, "key", "left_anti")
+    small = rows.join(shuffled(big), "key", "left_anti")
     left = small.where("side <> 1").selectExpr("key", "fp AS a", "side")
     right = small.where("side <> 0").selectExpr("key", "fp AS b")
-    near = left.join(right, "key").where("(side = 0 OR a < b) AND bit_count(a ^ b) <= 2").selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
+    near = left.join(shuffled(right), "key").where("(side = 0 OR a < b) AND bit_count(a ^ b) <= 2").selectExpr("least(a, b) AS a", "greatest(a, b) AS b")
     masks = {
         True: [(1 << i) | (1 << j) for i in range(32) for j in range(i)],
         False: [1 << i for i in range(32)],
     }
     fine = (
-        rows.join(big, "key", "left_semi")
+        rows.join(shuffled(big), "key", "left_semi")
         .selectExpr("fp", "key", "wild", "CASE WHEN shiftright(key, 32) < 33 THEN shiftrightunsigned(fp, 32) ELSE fp & 4294967295 END AS other")
         .withColumn("mask", F.explode(F.when(F.col("wild") == 32, F.array(*map(F.lit, masks[True]))).otherwise(F.array(*map(F.lit, masks[False])))))
         .groupBy("key", "mask", F.expr("other & ~mask").alias("rest"))
@@ -128,11 +128,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = table(edges.select("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b")), "edges")
     labels = table(both.groupBy("a").agg(F.min("b").alias("l")).selectExpr("a AS node", "least(a, l) AS root"), "labels")
     while True:
-        seen = both.join(labels.selectExpr("node AS b", "root AS l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        least = labels.join(seen, labels["node"] == seen["a"]).selectExpr("node", "least(root, l) AS next", "root AS was")
+        seen = both.join(shuffled(labels.selectExpr("node AS b", "root AS l")), "b").groupBy("a").agg(F.min("l").alias("l"))
+        least = labels.join(shuffled(seen), labels["node"] == seen["a"]).selectExpr("node", "least(root, l) AS next", "root AS was")
         least = table(least, "labels")
         jump = labels.selectExpr("node AS next", "root AS far")
-        after = table(least.join(jump, "next").selectExpr("node", "least(next, far) AS root", "was"), "labels")
+        after = table(least.join(shuffled(jump), "next").selectExpr("node", "least(next, far) AS root", "was"), "labels")
         forget(least, labels)
         if after.where("root <> was").isEmpty():
             forget(both)
@@ -154,11 +154,11 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     edges = table(links(known.select("fp")), "links")
     roots = components(edges)
     degree = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("links"))
-    known = table(known.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    known = table(known.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
     # small sides as tables of their own: adaptive plans split a hot key only between two plain shuffles
     least = table(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    found = known.join(least, "root").join(degree, "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return each.join(table(found, "found"), "fp").select("doc_id", "fp", "component_id", "links")
+    found = known.join(shuffled(least), "root").join(shuffled(degree), "fp", "left").select("fp", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return each.join(shuffled(table(found, "found")), "fp").select("doc_id", "fp", "component_id", "links")
 
 
 def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

@@ -93,3 +93,11 @@ def test_joins_on_a_hot_fingerprint_are_split(spark):
     finally:
         for k, v in keep.items():
             spark.conf.set(k, v)
+
+
+def test_variants_are_not_broadcast(spark):
+    """Each fingerprint becomes 66 rows after Spark has taken its table's size: those rows must not go to the driver."""
+    out = simhash.links(table(spark.range(2000).selectExpr("xxhash64(id) AS fp"), "fps"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
