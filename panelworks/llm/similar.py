@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, table
+from .common import forget, shuffled, table
 from .simhash import components, hashes, links, majority
 
 SEED = 42
@@ -127,18 +127,18 @@ def _pairs(near: DataFrame) -> DataFrame:
 def close(sets: DataFrame) -> DataFrame:
     """``a, b``: of ``whole, fp``, a set for each fingerprint with the others of it, and with one of each within two bits."""
     firsts = table(sets.groupBy("fp").agg(F.min("whole").alias("a")), "firsts")
-    same = sets.join(firsts, "fp").selectExpr("a", "whole AS b")
-    near = links(firsts.select("fp")).join(firsts.selectExpr("fp AS a", "a AS x"), "a").join(firsts.selectExpr("fp AS b", "a AS y"), "b")
+    same = sets.join(shuffled(firsts), "fp").selectExpr("a", "whole AS b")
+    near = links(firsts.select("fp")).join(shuffled(firsts.selectExpr("fp AS a", "a AS x")), "a").join(shuffled(firsts.selectExpr("fp AS b", "a AS y")), "b")
     return _pairs(same.unionByName(near.selectExpr("x AS a", "y AS b")))
 
 
 def candidates(shared: DataFrame) -> DataFrame:
     """``a, b``: of ``key, whole, n``, all pairs of keys with up to DENSE sets; of others, each set with PIVOTS sets that a hash of set and key picks."""
     small = shared.where(F.col("n") <= DENSE).select("key", "whole")
-    near = small.withColumnRenamed("whole", "a").join(small.withColumnRenamed("whole", "b"), "key").where("a < b").select("a", "b")
+    near = small.withColumnRenamed("whole", "a").join(shuffled(small.withColumnRenamed("whole", "b")), "key").where("a < b").select("a", "b")
     big = shared.where(F.col("n") > DENSE).select("key", "whole", F.explode(F.sequence(F.lit(1), F.lit(PIVOTS))).alias("k"))
     pivots = big.groupBy("key", "k").agg(F.min(F.struct(F.xxhash64("whole", "key", "k").alias("h"), F.col("whole").alias("b"))).alias("m")).select("key", "k", "m.b")
-    return near.unionByName(_pairs(big.join(pivots, ["key", "k"]).selectExpr("whole AS a", "b")))
+    return near.unionByName(_pairs(big.join(shuffled(pivots), ["key", "k"]).selectExpr("whole AS a", "b")))
 
 
 def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -164,17 +164,17 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
             yield pa.record_batch(columns, names=["whole", "n", "keys", *marks])
 
     each = texts.mapInArrow(run, ", ".join(["whole bigint, n bigint, keys array<bigint>", *(f"{x} bigint" for x in marks)]))
-    each = each.join(roots.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+    each = each.join(shuffled(roots.withColumnRenamed("node", "whole")), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     each = table(each, "second")
     known = each.select(F.explode("keys").alias("key"), "root")
     groups = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
     # a table of its own: adaptive plans split a hot key only between two plain shuffles
-    several = table(each.select(F.explode("keys").alias("key"), "whole", "root", "n", *marks).join(groups.select("key", "most"), "key"), "several")
+    several = table(each.select(F.explode("keys").alias("key"), "whole", "root", "n", *marks).join(shuffled(groups.select("key", "most")), "key"), "several")
     left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
     apart = {names[0]: " + ".join(f"bit_count(a_{x} ^ {x})" for x in names) for names in (lows_of, shingles_of)}
     sizes = f"least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart['m0']} <= {(1 - least) / (1 + least) + 1e-9!r} * (a_n + n)"
     near = f"a_root <> root AND (root = most OR a_whole < whole) AND {sizes} AND {apart['s0']} <= {differing(total, least)}"
-    return _pairs(left.join(several, "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
+    return _pairs(left.join(shuffled(several), "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -187,7 +187,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float
             good = [similarity(own(s.as_py()), own(t.as_py())) >= least for s, t in zip(x, y)]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    both = pairs.join(texts.selectExpr("whole AS a", "text AS x"), "a").join(texts.selectExpr("whole AS b", "text AS y"), "b")
+    both = pairs.join(shuffled(texts.selectExpr("whole AS a", "text AS x")), "a").join(shuffled(texts.selectExpr("whole AS b", "text AS y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -199,11 +199,11 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
     sets = table(each.groupBy("whole").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
     known = sets.select("whole", F.explode("keys").alias("key"))
     many = table(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    shared = table(known.join(many, "key"), "shared")
+    shared = table(known.join(shuffled(many), "key"), "shared")
 
     def texts_of(wholes: DataFrame) -> DataFrame:
         """``whole, text``: one row stands for all of a set, so the join of texts meets each row once."""
-        return table(texts.join(sets.select("whole", "row").join(wholes.distinct(), "whole", "left_semi"), "row").select("whole", "text"), "texts")
+        return table(texts.join(shuffled(sets.select("whole", "row").join(shuffled(wholes.distinct()), "whole", "left_semi")), "row").select("whole", "text"), "texts")
 
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs.distinct(), "pairs")
@@ -223,9 +223,9 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
             roots = components(edges.unionByName(more))
     forget(many, shared, sets)
     roots = roots.selectExpr("node AS whole", "root")
-    ids = table(rows.select(F.col("_pw_row").alias("row"), F.col("doc_id").alias("id")).where("id IS NOT NULL").join(each.select("row", "whole"), "row"), "ids")
+    ids = table(rows.select(F.col("_pw_row").alias("row"), F.col("doc_id").alias("id")).where("id IS NOT NULL").join(shuffled(each.select("row", "whole")), "row"), "ids")
     firsts = ids.groupBy("whole").agg(F.min(F.struct("id", "row")).alias("first"))
-    firsts = firsts.join(roots, "whole", "left").groupBy(F.coalesce("root", "whole")).agg(F.min("first").alias("first"))
+    firsts = firsts.join(shuffled(roots), "whole", "left").groupBy(F.coalesce("root", "whole")).agg(F.min("first").alias("first"))
     kept = firsts.select(F.col("first.row").alias("_pw_kept"))
-    led = rows.join(kept, rows["_pw_row"] == kept["_pw_kept"], "left_semi")
+    led = rows.join(shuffled(kept), rows["_pw_row"] == kept["_pw_kept"], "left_semi")
     return led.select(*docs.columns).unionByName(rows.where("doc_id IS NULL").select(*docs.columns))

@@ -92,3 +92,14 @@ def test_odd_rows(docs):
     got = simhash.keep_one(docs(*ODD, (7, " "), (9, "one two")))
     assert sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4, 6, 9] and got.columns == docs(*ODD).columns
     assert simhash.keep_one(docs(*ODD).limit(0)).count() == 0
+
+
+def test_keys_and_texts_are_not_broadcast(spark, monkeypatch):
+    """Files hold texts packed, and Spark takes exploded keys for few: neither may go to the driver."""
+    plans, write = [], similar.table
+    monkeypatch.setattr(similar, "table", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), write(df, name))[1])
+    texts = [" ".join(f"w{(k // 3 * 31 + j) % 997}" for j in range(30)) + f" x{k}" for k in range(60)]
+    rows = write(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "documents")
+    assert len(similar.keep_one(rows).collect()) < 60
+    assert {"shared", "pairs", "texts", "links"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "Broadcast" in plan]
