@@ -30,8 +30,9 @@ SIZE, LEAST = 5, 0.8
 DEPTHS = (4, 8)
 #: Pairs of just that similarity that share no key, and that differ in more bits than are compared further.
 MISSED = 3e-6
-#: Of a first key with more texts than DENSE each text is compared with PIVOTS texts of the key; second keys do the rest.
-DENSE, PIVOTS = 16, 3
+#: Of a first key with more texts than DENSE each text is compared with PIVOTS texts of the key; of one with up to MANY
+#: the marks of texts that this doesn't connect are compared too, and second keys do the rest.
+DENSE, PIVOTS, MANY = 16, 3, 2048
 #: Minima of which a bit is compared, and bits that stand for the shingles of a set.
 BITS, MAP = 256, 1024
 #: Shingles whose hashes are permuted at once.
@@ -141,11 +142,13 @@ def candidates(shared: DataFrame) -> DataFrame:
     return near.unionByName(_pairs(big.join(shuffled(pivots), ["key", "k"]).selectExpr("whole AS a", "b")))
 
 
-def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """``a, b``: of ``whole, text``, the pairs of a second key that no group of ``node, root`` connects yet.
+def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float = LEAST, crowded: DataFrame | None = None) -> DataFrame:
+    """``a, b``: of ``whole, text``, pairs of a crowded or second key that no group of ``node, root`` connects yet.
 
-    The sets of a key's largest group need no comparison with one another, so
-    each set outside it meets the sets of other groups.  A pair is proposed if
+    Sets that share one of the crowded keys (``key, whole, n``) with up to MANY
+    sets meet there; those of larger ones, and all if none are given, by second
+    keys.  The sets of a key's largest group need no comparison with one another,
+    so each set outside it meets the sets of other groups.  A pair is proposed if
     its sizes and bitmaps allow the similarity, which leaves out no similar pair,
     and if no more bits of its minima differ than similar sets have, but for
     MISSED of them: passages that many texts share give keys, but not pairs.
@@ -166,15 +169,28 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
     each = texts.mapInArrow(run, ", ".join(["whole bigint, n bigint, keys array<bigint>", *(f"{x} bigint" for x in marks)]))
     each = each.join(shuffled(roots.withColumnRenamed("node", "whole")), "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     each = table(each, "second")
-    known = each.select(F.explode("keys").alias("key"), "root")
-    groups = known.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
-    # a table of its own: adaptive plans split a hot key only between two plain shuffles
-    several = table(each.select(F.explode("keys").alias("key"), "whole", "root", "n", *marks).join(shuffled(groups.select("key", "most")), "key"), "several")
-    left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
-    apart = {names[0]: " + ".join(f"bit_count(a_{x} ^ {x})" for x in names) for names in (lows_of, shingles_of)}
-    sizes = f"least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart['m0']} <= {(1 - least) / (1 + least) + 1e-9!r} * (a_n + n)"
-    near = f"a_root <> root AND (root = most OR a_whole < whole) AND {sizes} AND {apart['s0']} <= {differing(total, least)}"
-    return _pairs(left.join(shuffled(several), "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
+
+    def met(named: DataFrame) -> DataFrame:
+        """The pairs of ``key, whole, root``."""
+        named = table(named, "named")
+        groups = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("groups")).where("groups > 1")
+        # tables of their own: adaptive plans split a hot key only between two plain shuffles
+        groups = table(groups.select("key", "most"), "groups")
+        several = table(named.join(shuffled(groups), "key").join(shuffled(each.select("whole", "n", *marks)), "whole"), "several")
+        left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
+        apart = {names[0]: " + ".join(f"bit_count(a_{x} ^ {x})" for x in names) for names in (lows_of, shingles_of)}
+        sizes = f"least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart['m0']} <= {(1 - least) / (1 + least) + 1e-9!r} * (a_n + n)"
+        near = f"a_root <> root AND (root = most OR a_whole < whole) AND {sizes} AND {apart['s0']} <= {differing(total, least)}"
+        return _pairs(left.join(shuffled(several), "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
+
+    def second(some: DataFrame) -> DataFrame:
+        return met(some.select(F.explode("keys").alias("key"), "whole", "root"))
+
+    if crowded is None:
+        return second(each)
+    out = met(crowded.where(F.col("n") <= MANY).select("key", "whole").join(shuffled(each.select("whole", "root")), "whole").select("key", "whole", "root"))
+    rest = crowded.where(F.col("n") > MANY).select("whole").distinct()
+    return out if rest.isEmpty() else out.unionByName(second(each.join(shuffled(rest), "whole", "left_semi")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
@@ -214,10 +230,10 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
 
     edges = linked(candidates(shared).unionByName(close(sets)))
     roots = components(edges)
-    dense = shared.where(F.col("n") > DENSE).select("whole")
+    dense = shared.where(F.col("n") > DENSE)
     if not dense.isEmpty():
-        own = texts_of(dense)
-        more = linked(further(own, roots, size, least))
+        own = texts_of(dense.select("whole"))
+        more = linked(further(own, roots, size, least, dense))
         forget(own)
         if not more.isEmpty():
             roots = components(edges.unionByName(more))

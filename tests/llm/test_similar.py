@@ -103,3 +103,21 @@ def test_keys_and_texts_are_not_broadcast(spark, monkeypatch):
     assert len(similar.keep_one(rows).collect()) < 60
     assert {"shared", "pairs", "texts", "links"} <= {name for name, _ in plans}
     assert not [name for name, plan in plans if "Broadcast" in plan]
+
+
+def test_crowded_keys_need_second_keys_only_beyond_many(spark, monkeypatch):
+    rng, made, write = random.Random(9), [], similar.table
+    monkeypatch.setattr(similar, "table", lambda df, name: (out := write(df, name), made.append((name, out.count())))[0])
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base[:110] + [f"x{rng.randrange(10**6)}" for _ in range(90)]) for _ in range(40)]
+    texts += [" ".join(near(t.split(), rng, 2)) for t in texts[:10]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "whole bigint, text string")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    crowded = spark.createDataFrame([(7, k, 50) for k in range(50)], "key bigint, whole bigint, n bigint")
+    want = {(k, k + 40) for k in range(10)}
+    for many, most in ((50, 50), (49, 50 * 70)):
+        monkeypatch.setattr(similar, "MANY", many)
+        made.clear()
+        found = similar.verified(similar.further(rows, roots, crowded=crowded).distinct(), rows).collect()
+        assert {(r["a"], r["b"]) for r in found} == want
+        assert sum(n for name, n in made if name == "named") == most  # a row a set and key, where 70 second keys a set were exploded
