@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import DEFAULT, encoder
+from .tokens import DEFAULT, PART, encoder
 
 SIZE = 2048
 END = 0
@@ -77,26 +78,31 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str = DEFAULT, end: int = EN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, last = encoder(path), end.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                tool.warm(texts)
+            texts, begin = batch.column(1), 0
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            while begin < len(sizes):
+                stop, held = begin + 1, sizes[begin]
+                while stop < len(sizes) and held + sizes[stop] <= PART:
+                    held, stop = held + sizes[stop], stop + 1
+                if held > PART:  # a text of its own, part by part
+                    ids = np.frombuffer(b"".join(tool.encode(texts[begin].as_py())), "<u4")
+                    ends = [0, len(ids)]
+                else:
+                    ids, ends = tool.together(texts.slice(begin, stop - begin))
+                data = memoryview(np.ascontiguousarray(ids, "<u4").view(np.uint8))
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, text in enumerate(texts):
-                    data, n, at_id = b"", 0, 0
-                    for more in (*tool.encode(text), last):
-                        data += more
-                        whole = (len(data) - 4) // (4 * size) if more is not last else -(-len(data) // (4 * size))
-                        for i in range(whole):
-                            one = data[4 * size * i : 4 * size * (i + 1)]
-                            row.append(k)
-                            piece.append(n)
-                            start.append(at_id)
-                            length.append(len(one) // 4)
-                            crc.append(zlib.crc32(one))
-                            n, at_id = n + 1, at_id + len(one) // 4
-                        data = data[4 * size * whole :]
-                yield pa.record_batch([part.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"]).cast(schema)
+                for k in range(stop - begin):
+                    total = ends[k + 1] - ends[k] + 1
+                    for n, at in enumerate(range(0, total, size)):
+                        many = min(size, total - at)
+                        first = 4 * (ends[k] + at)
+                        row.append(begin + k)
+                        piece.append(n)
+                        start.append(at)
+                        length.append(many)
+                        crc.append(zlib.crc32(data[first : first + 4 * many]) if at + many < total else zlib.crc32(last, zlib.crc32(data[first : 4 * ends[k + 1]])))
+                yield pa.record_batch([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (piece, start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"]).cast(schema)
+                begin = stop
 
     ids = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type

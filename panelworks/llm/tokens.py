@@ -11,6 +11,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Chunks of a generation; a worker keeps two, and what is used again moves from the older to the newer.
@@ -32,6 +34,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model  # each access makes an object
+        self.octets = [k.to_bytes(4, "little") for k in range(1 + max(self.tokenizer.get_vocab().values(), default=0))]
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -45,7 +49,7 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """A lower-case Latin word that is one piece to the pre-tokenizer: the model alone decides."""
         text = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(text)])
+        return b"".join([self.octets[x.id] for x in self.model.tokenize(text)])
 
     def _learn(self, chunks: set[str]) -> None:
         """Put chunks into the cache; words are encoded once for all their cases and marks."""
@@ -111,6 +115,22 @@ class Encoder:
         new -= self.cache.keys()
         self._learn({x for x in new if len(x) <= LONGEST})
 
+    def together(self, texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        """The ids of texts of up to PART bytes in all, one text behind the other, and where each begins and the last ends.
+
+        Each distinct chunk is looked up once; Arrow does the rest.
+        """
+        chunks = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = chunks.flatten().dictionary_encode()
+        found = coded.dictionary.to_pylist()
+        self._age()
+        self._learn({x for x in found if x not in self.cache and len(x) <= LONGEST})
+        ids = [self.cache[x] if len(x) <= LONGEST else self._direct(x) for x in found]
+        ends = np.cumsum([0, *map(len, ids)]) // 4
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        at = np.concatenate(([0], np.cumsum(np.diff(ends)[coded.indices.to_numpy()])))
+        return lists.take(coded.indices).flatten().to_numpy(), at[chunks.offsets.to_numpy()].tolist()
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest_llm import ODD
 from tokenizers import Tokenizer
@@ -83,3 +84,13 @@ def test_histogram_answers_every_limit(docs):
     got = {r["context"]: (r["whole_docs"], r["truncated_tokens"]) for r in lengths.answers(lengths.histogram(df), [1, 6, 100]).collect()}
     assert got == {c: (sum(x <= c for x in sizes), sum(min(x, c) for x in sizes)) for c in (1, 6, 100)}
     assert lengths.histogram(df.limit(0)).count() == 0
+
+
+def test_texts_encoded_together_have_the_tokenizers_ids():
+    rng, tool = random.Random(12), tokens.Encoder(public_tokenizers.path(tokens.DEFAULT))
+    texts = [None, "", " \n", "a" * 300 + " b", "Éa, b!\tc <|x|> d\n\ne"] + [" ".join(rng.choice(("word", "Ünder", "x9-y", "z" * 70, "")) for _ in range(50)) for _ in range(20)]
+    ids, at = tool.together(pa.array(["left out", *texts], pa.string()).slice(1))
+    plain = Tokenizer.from_file(public_tokenizers.path(tokens.DEFAULT))
+    assert len(at) == len(texts) + 1
+    for k, text in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == plain.encode(text or "", add_special_tokens=False).ids
