@@ -35,6 +35,8 @@ MISSED = 3e-6
 DENSE, PIVOTS, MANY = 16, 3, 2048
 #: Minima of which a bit is compared, and bits that stand for the shingles of a set.
 BITS, MAP = 256, 1024
+#: The columns of a set's bitmap.
+MARKS = [f"m{k}" for k in range(MAP // 64)]
 #: Shingles whose hashes are permuted at once.
 BLOCK = 1 << 12
 
@@ -104,27 +106,47 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(rows: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFrame:
-    """``row, whole, fp, keys`` of ``row, text``: a hash of the set of shingles, their fingerprint, and the first keys."""
+    """``row, whole, fp, keys, n, m0, ...`` of ``row, text``: a hash of the set of shingles, their fingerprint, the first keys, the set's size and bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wholes, fps, found = [], [], []
+            wholes, fps, found, sizes, maps = [], [], [], [], []
             for x in batch.column(1).cast(pa.binary()):
                 parts = list(hashes((x.as_py() or b"").lower().split(), size))
                 own = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
                 wholes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                 fps.append(majority(parts))
                 found.append(keys(minima(own, DEPTHS[0], least)))
+                sizes.append(len(own))
+                maps.append(bitmap(own))
             whole, fp = (pa.array(np.array(v, np.uint64).view(np.int64)) for v in (wholes, fps))
-            yield pa.record_batch([batch.column(0), whole, fp, _lists(found)], names=["row", "whole", "fp", "keys"])
+            signs = np.array(maps, np.int64).reshape(-1, len(MARKS)).T.copy()
+            columns = [batch.column(0), whole, fp, _lists(found), pa.array(sizes, pa.int64()), *map(pa.array, signs)]
+            yield pa.record_batch(columns, names=["row", "whole", "fp", "keys", "n", *MARKS])
 
-    return rows.mapInArrow(run, "row bigint, whole bigint, fp bigint, keys array<bigint>")
+    return rows.mapInArrow(run, ", ".join(["row bigint, whole bigint, fp bigint, keys array<bigint>, n bigint", *(f"{x} bigint" for x in MARKS)]))
 
 
 def _pairs(near: DataFrame) -> DataFrame:
     return near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _apart(names: list[str]) -> str:
+    return " + ".join(f"bit_count(a_{x} ^ {x})" for x in names)
+
+
+def _allowed(least: float) -> str:
+    """Whether ``n, m0, ...`` of two sets, one of them named ``a_n, a_m0, ...``, allow the similarity: they do of every similar pair."""
+    return f"least(a_n, n) + 1e-9D >= {least!r}D * greatest(a_n, n) AND {_apart(MARKS)} <= {(1 - least) / (1 + least)!r}D * (a_n + n) + 1e-9D"
+
+
+def possible(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """``a, b``: the pairs that the sizes and bitmaps of ``whole, n, m0, ...`` don't rule out; no similar pair is left out."""
+    marks = sets.select("whole", "n", *MARKS)
+    left = pairs.join(shuffled(marks.select(F.col("whole").alias("a"), *(F.col(x).alias(f"a_{x}") for x in ("n", *MARKS)))), "a")
+    return left.join(shuffled(marks.withColumnRenamed("whole", "b")), "b").where(_allowed(least)).select("a", "b")
+
+
 def close(sets: DataFrame) -> DataFrame:
     """``a, b``: of ``whole, fp``, a set for each fingerprint with the others of it, and with one of each within two bits."""
     firsts = table(sets.groupBy("fp").agg(F.min("whole").alias("a")), "firsts")
@@ -154,8 +176,8 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
     MISSED of them: passages that many texts share give keys, but not pairs.
     """
     total = min(BITS, DEPTHS[1] * permutations(DEPTHS[1], least)[0])
-    lows_of, shingles_of = [f"s{k}" for k in range(-(-total // 64))], [f"m{k}" for k in range(MAP // 64)]
-    marks = lows_of + shingles_of
+    lows_of = [f"s{k}" for k in range(-(-total // 64))]
+    marks = lows_of + MARKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,9 +200,7 @@ def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float =
         groups = table(groups.select("key", "most"), "groups")
         several = table(named.join(shuffled(groups), "key").join(shuffled(each.select("whole", "n", *marks)), "whole"), "several")
         left = several.where("root <> most").select("key", *(F.col(x).alias(f"a_{x}") for x in ("whole", "root", "n", *marks)))
-        apart = {names[0]: " + ".join(f"bit_count(a_{x} ^ {x})" for x in names) for names in (lows_of, shingles_of)}
-        sizes = f"least(a_n, n) >= {least!r} * greatest(a_n, n) AND {apart['m0']} <= {(1 - least) / (1 + least) + 1e-9!r} * (a_n + n)"
-        near = f"a_root <> root AND (root = most OR a_whole < whole) AND {sizes} AND {apart['s0']} <= {differing(total, least)}"
+        near = f"a_root <> root AND (root = most OR a_whole < whole) AND {_allowed(least)} AND {_apart(lows_of)} <= {differing(total, least)}"
         return _pairs(left.join(shuffled(several), "key").where(near).selectExpr("a_whole AS a", "whole AS b"))
 
     def second(some: DataFrame) -> DataFrame:
@@ -212,7 +232,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
     rows = table(docs.withColumn("_pw_row", F.monotonically_increasing_id()), "rows")
     texts = rows.select(F.col("_pw_row").alias("row"), F.col("text").cast("string").alias("text"))
     each = table(sketches(texts, size, least), "sketches")
-    sets = table(each.groupBy("whole").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sets")
+    sets = table(each.groupBy("whole").agg(F.min("row").alias("row"), *(F.first(x).alias(x) for x in ("fp", "keys", "n", *MARKS))), "sets")
     known = sets.select("whole", F.explode("keys").alias("key"))
     many = table(known.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     shared = table(known.join(shuffled(many), "key"), "shared")
@@ -228,7 +248,9 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
         forget(pairs, own)
         return out
 
-    edges = linked(candidates(shared).unionByName(close(sets)))
+    met = table(candidates(shared).unionByName(close(sets)).distinct(), "met")
+    edges = linked(possible(met, sets, least))
+    forget(met)
     roots = components(edges)
     dense = shared.where(F.col("n") > DENSE)
     if not dense.isEmpty():

@@ -121,3 +121,32 @@ def test_crowded_keys_need_second_keys_only_beyond_many(spark, monkeypatch):
         found = similar.verified(similar.further(rows, roots, crowded=crowded).distinct(), rows).collect()
         assert {(r["a"], r["b"]) for r in found} == want
         assert sum(n for name, n in made if name == "named") == most  # a row a set and key, where 70 second keys a set were exploded
+
+
+def test_first_keys_give_texts_only_to_pairs_that_sizes_and_bitmaps_allow(docs, monkeypatch):
+    """A passage that many texts share gives them first keys, but no pair to verify."""
+    rng, made, write = random.Random(12), [], similar.table
+    monkeypatch.setattr(similar, "table", lambda df, name: (out := write(df, name), made.append((name, out.count())))[0])
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = [" ".join(base[:150] + [f"x{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(40)]
+    texts += [" ".join(near(t.split(), rng, 2)) for t in texts[:10]]
+    for dense in (similar.DENSE, 2):  # pairs within keys, and pivots
+        monkeypatch.setattr(similar, "DENSE", dense)
+        made.clear()
+        assert {r["doc_id"] for r in simhash.keep_one(docs(*enumerate(texts))).collect()} == set(range(40))
+        count = {name: n for name, n in made[::-1]}  # of each table, as first made
+        assert count["met"] > 200 and count["links"] <= count["pairs"] <= 20
+
+
+def test_no_similar_pair_is_ruled_out(spark):
+    rng, least = np.random.default_rng(3), 0.55
+    sets = [rng.integers(0, 1 << 63, 100, dtype=np.uint64)]
+    sets += [sets[0][:55], sets[0][:54], np.concatenate([sets[0][:71], rng.integers(0, 1 << 63, 29, dtype=np.uint64)]), np.empty(0, np.uint64)]
+    sets = list(map(np.unique, sets))
+    rows = [(k, len(x), *map(int, similar.bitmap(x))) for k, x in enumerate(sets)]
+    marks = spark.createDataFrame(rows, ", ".join(["whole bigint, n bigint", *(f"{x} bigint" for x in similar.MARKS)]))
+    pairs = [(a, b) for b in range(5) for a in range(b)]
+    got = {(r["a"], r["b"]) for r in similar.possible(spark.createDataFrame(pairs, "a bigint, b bigint"), marks, least).collect()}
+    want = {(a, b) for a, b in pairs if similar.similarity(sets[a], sets[b]) >= least}
+    assert (0, 1) in want and (0, 3) in want and got >= want  # 0.55 * 100 is over 55 in floating point
+    assert (0, 2) not in got and not [x for x in got if 4 in x]
