@@ -159,9 +159,11 @@ def candidates(shared: DataFrame) -> DataFrame:
     """``a, b``: of ``key, whole, n``, all pairs of keys with up to DENSE sets; of others, each set with PIVOTS sets that a hash of set and key picks."""
     small = shared.where(F.col("n") <= DENSE).select("key", "whole")
     near = small.withColumnRenamed("whole", "a").join(shuffled(small.withColumnRenamed("whole", "b")), "key").where("a < b").select("a", "b")
-    big = shared.where(F.col("n") > DENSE).select("key", "whole", F.explode(F.sequence(F.lit(1), F.lit(PIVOTS))).alias("k"))
-    pivots = big.groupBy("key", "k").agg(F.min(F.struct(F.xxhash64("whole", "key", "k").alias("h"), F.col("whole").alias("b"))).alias("m")).select("key", "k", "m.b")
-    return near.unionByName(_pairs(big.join(shuffled(pivots), ["key", "k"]).selectExpr("whole AS a", "b")))
+    big = shared.where(F.col("n") > DENSE).select("key", "whole")
+    first = [F.min(F.struct(F.xxhash64("whole", "key", F.lit(k)).alias("h"), F.col("whole").alias("b")))["b"] for k in range(1, PIVOTS + 1)]
+    # a table of its own, as below
+    pivots = table(big.groupBy("key").agg(F.array(*first).alias("all")), "pivots")
+    return near.unionByName(_pairs(big.join(shuffled(pivots), "key").select(F.col("whole").alias("a"), F.explode("all").alias("b"))))
 
 
 def further(texts: DataFrame, roots: DataFrame, size: int = SIZE, least: float = LEAST, crowded: DataFrame | None = None) -> DataFrame:

@@ -150,3 +150,12 @@ def test_no_similar_pair_is_ruled_out(spark):
     want = {(a, b) for a, b in pairs if similar.similarity(sets[a], sets[b]) >= least}
     assert (0, 1) in want and (0, 3) in want and got >= want  # 0.55 * 100 is over 55 in floating point
     assert (0, 2) not in got and not [x for x in got if 4 in x]
+
+
+def test_pivots_are_joined_before_a_text_has_a_row_for_each(spark):
+    shared = similar.table(spark.range(200).selectExpr("id % 2 AS key", "id AS whole", "100L AS n"), "shared")
+    got = similar.candidates(shared)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
+    pairs = {(r["a"], r["b"]) for r in got.collect()}
+    assert {x for p in pairs for x in p} == set(range(200)) and all((a - b) % 2 == 0 for a, b in pairs)
+    assert len(pairs) <= 200 * similar.PIVOTS
