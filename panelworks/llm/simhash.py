@@ -119,25 +119,50 @@ def links(fps: DataFrame) -> DataFrame:
     return near.unionByName(fine).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: the least node reachable, for every node of an edge ``a, b``.
-
-    Labels take the least label of the neighbours and then that label's own
-    label, until none changes; each round is written to the shared folder.
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``node, root``: the least node reachable, for every node of an edge ``a, b``, and of known ones (``node, root``, of edges before these).
+
+    Each round a node takes its least neighbour, if that is less, and then what
+    that one has taken, until none changes; edges are carried over to what their
+    ends have, and those within one node, and repeats, are gone before the next
+    round.  A component's least node keeps itself, so it is the last one left.
+    Tables in between are written to the shared folder.
     """
-    both = table(edges.select("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b")), "edges")
+    return (_labels(edges) if known is None else _joined(known, edges)).select("node", "root")
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    both = edges.select("a", "b").unionByName(edges.selectExpr("b AS a", "a AS b"))
     labels = table(both.groupBy("a").agg(F.min("b").alias("l")).selectExpr("a AS node", "least(a, l) AS root"), "labels")
     while True:
-        seen = both.join(shuffled(labels.selectExpr("node AS b", "root AS l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        least = labels.join(shuffled(seen), labels["node"] == seen["a"]).selectExpr("node", "least(root, l) AS next", "root AS was")
-        least = table(least, "labels")
-        jump = labels.selectExpr("node AS next", "root AS far")
-        after = table(least.join(shuffled(jump), "next").selectExpr("node", "least(next, far) AS root", "was"), "labels")
-        forget(least, labels)
-        if after.where("root <> was").isEmpty():
-            forget(both)
-            return after.select("node", "root")
+        jump = labels.selectExpr("node AS root", "root AS far")
+        after = table(labels.join(shuffled(jump), "root").selectExpr("node", "far AS root", "root AS was"), "labels")
+        forget(labels)
         labels = after
+        if labels.where("root <> was").isEmpty():
+            break
+    out = _joined(labels, edges)
+    if out is not labels:
+        forget(labels)
+    return out
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels as edges join them, which are carried over to what their ends have; nodes without a label have themselves."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(shuffled(labels.selectExpr(f"node AS {end}", f"root AS {end}_root")), end, "left")
+    ends = ends.selectExpr("coalesce(a_root, a) AS x", "coalesce(b_root, b) AS y").where("x <> y")
+    rest = table(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if rest.isEmpty():
+        forget(rest)
+        return labels
+    later = _labels(rest)
+    out = labels.join(shuffled(later.selectExpr("node AS root", "root AS far")), "root", "left").selectExpr("node", "coalesce(far, root) AS root")
+    fresh = later.join(shuffled(labels.select("node")), "node", "left_anti").select("node", "root")
+    out = table(out.unionByName(fresh), "labels")
+    forget(rest, later)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:

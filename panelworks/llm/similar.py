@@ -260,7 +260,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, least: float = LEAST) -> DataFra
         more = linked(further(own, roots, size, least, dense))
         forget(own)
         if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+            roots = components(more, roots)
     forget(many, shared, sets)
     roots = roots.selectExpr("node AS whole", "root")
     ids = table(rows.select(F.col("_pw_row").alias("row"), F.col("doc_id").alias("id")).where("id IS NOT NULL").join(shuffled(each.select("row", "whole")), "row"), "ids")

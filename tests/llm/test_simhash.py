@@ -101,3 +101,57 @@ def test_variants_are_not_broadcast(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def joined_rows(df):
+    """The rows that the joins of a collected frame made."""
+
+    def of(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return of(node.executedPlan())
+        if "QueryStage" in name:
+            return of(node.plan())
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return own + sum(of(node.children().apply(k)) for k in range(node.children().size()))
+
+    df.collect()
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def roots(edges):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for start in sorted(near):
+        todo = [] if start in out else [start]
+        while todo:
+            if (x := todo.pop()) not in out:
+                out[x] = start
+                todo += near[x]
+    return out
+
+
+def test_components_join_each_edge_once(spark, monkeypatch):
+    """A dense group's links are not joined again in each round, nor when further links come."""
+    rng, made, write = random.Random(4), [], simhash.table
+    monkeypatch.setattr(simhash, "table", lambda df, name: (made.append(joined_rows(df)), write(df, name))[1])
+    edges = [tuple(rng.sample(range(300), 2)) for _ in range(4000)] + [(k, k + 1) for k in range(1000, 1100)]
+    more = [(5, 1050), (2000, 1001), (2000, 2001), (3000, 3001)]
+    first = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+    assert {r["node"]: r["root"] for r in first.collect()} == roots(edges)
+    assert sum(made) < 3 * len(edges) + 4000  # one join for either end, and some of 401 nodes
+    made.clear()
+    both = simhash.components(spark.createDataFrame(more, "a bigint, b bigint"), first)
+    assert both.columns == ["node", "root"] and {r["node"]: r["root"] for r in both.collect()} == roots(edges + more)
+    assert sum(made) < 1000
+
+
+def test_components_of_paths_and_odd_edges(spark):
+    rng = random.Random(6)
+    mixed = rng.sample(range(-500, 500), 300)
+    for edges in ([], [(5, 5)], [(2, 1), (1, 2), (1, 2)], [(k, k + 1) for k in range(200)], list(zip(mixed, mixed[1:])), [(k, 999) for k in range(50)]):
+        got = simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"))
+        assert got.columns == ["node", "root"] and {r["node"]: r["root"] for r in got.collect()} == roots(edges)
